@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intentlake.session import cut_lineage
@@ -80,7 +80,7 @@ def ordering_keys(unit: np.ndarray, orderings: int, projected: int, bits: int) -
 def pack(unit: np.ndarray) -> np.ndarray:
     """Components as 3-byte fixed-point numbers: (rows, 3 * dimensions) bytes."""
     fixed = np.rint(unit * SCALE).astype("<i4")
-    return np.ascontiguousarray(fixed.view(np.uint8).reshape(*unit.shape, 4)[:, :, :3]).reshape(len(unit), -1)
+    return np.ascontiguousarray(fixed.view(np.uint8).reshape(*unit.shape, 4)[:, :, :3]).reshape(len(unit), 3 * unit.shape[1])
 
 
 def unpack(code: pa.Array, dim: int) -> np.ndarray:
@@ -221,7 +221,7 @@ def nearest(
     or fewer usable rows each row has all others. Approximate: a neighbour can be missed if no ordering
     brings it near (see the README for measured recall); what is listed is ranked by its true cosine.
     """
-    spark = df.sparkSession
+    projected = min(PROJECTED, dim)
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null")
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def nearest(
             if not batch.num_rows:
                 continue
             code = batch.column(1)
-            key = ordering_keys(unpack(code, dim), orderings, PROJECTED, BITS)
+            key = ordering_keys(unpack(code, dim), orderings, projected, BITS)
             at = pa.array(np.tile(np.arange(len(code)), orderings))
             yield pa.RecordBatch.from_arrays([pa.array(key.T.reshape(-1)), batch.column(0).take(at), code.take(at)], ["key", "id", "code"])
 
@@ -250,7 +250,7 @@ def nearest(
     followers = _followers(hashed, copies)
     single = points.join(followers.select("id"), "id", "left_anti")
     keyed = single.mapInArrow(keys, "key bigint, id bigint, code binary").repartitionByRange(parts, "key").sortWithinPartitions("key", "id")
-    keyed = keyed.select(F.shiftright("key", PROJECTED * BITS).alias("ordering"), "id", "code")
+    keyed = keyed.select(F.shiftright("key", projected * BITS).alias("ordering"), "id", "code")
     found = _merge(_candidates(keyed, dim, k), k)
     return _with_copies(found, classes, followers, k)
 

@@ -102,7 +102,7 @@ pair as (
 
 _HITS = f"""hit as (
   select distinct hit_id, qid, entry_ord, {TOOL_KEY} as tool_key, score, query from hits
-  where tool_name is not null and score > 0 and score < 'infinity'::double),
+  where tool_name is not null and isfinite(score) and score > 0),
 ranked as (
   select *, row_number() over (partition by qid, tool_key order by score desc, entry_ord, hit_id) as hit_rank from hit)"""
 
