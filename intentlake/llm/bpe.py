@@ -6,8 +6,8 @@ Three steps, each on whole Arrow batches:
   other runs, white space) is done with array operations over the code points of the batch.
 * *Merging* a piece that is not itself a token uses a priority queue of merge ranks over a doubly
   linked list of symbols. Queue entries are never removed; an entry whose pair has changed since is
-  stale and skipped when it comes up. The many short pieces of a batch take the same steps together
-  on arrays (``merge_short``); each worker merges a piece once and keeps the result.
+  stale and skipped when it comes up. Each worker merges a piece once and keeps the result, so the
+  cost of merging follows the number of different pieces.
 * *Decoding* concatenates the vocabulary's byte strings.
 
 Strings that look like special tokens are ordinary text. Empty and null texts have no ids.
@@ -20,7 +20,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,6 @@ CHUNK_CHARS = 1 << 20
 #: Pieces whose merges a worker keeps; at this size the store starts anew, which changes no result.
 MAX_KEPT_PIECES = 600_000
 
-#: Pieces of up to so many bytes are merged together in lockstep, longer ones each with a heap.
-LOCKSTEP_BYTES = 64
-LOCKSTEP = 128
-#: No token: a rank above every other.
-NONE = 1 << 40
-
 SPACE, LETTER, NUMBER, OTHER, BREAK = 0, 1, 2, 3, 4
 # The code points of Unicode's White_Space property.
 WHITE_SPACE = (
@@ -132,30 +126,32 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     #: The rank of the pair that starts at each symbol now; what the queue holds besides is stale.
     pair: list[int | None] = [get(piece[i : i + 2]) for i in range(n - 1)]
     pair.append(None)
-    queue = [(r, i) for i, r in enumerate(pair) if r is not None]
+    # An entry is rank * 2**32 + position: least rank first, of equal ranks the leftmost.
+    queue = [r << 32 | i for i, r in enumerate(pair) if r is not None]
     heapify(queue)
     while queue:
-        r, i = heappop(queue)
-        if pair[i] != r:
+        entry = heappop(queue)
+        i = entry & 0xFFFFFFFF
+        if pair[i] != entry >> 32:
             continue
         j = after[i]
-        symbol[i] += symbol[j]
+        joined = symbol[i] = symbol[i] + symbol[j]
         pair[j] = None
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            new = pair[i] = get(symbol[i] + symbol[k])
+            new = pair[i] = get(joined + symbol[k])
             if new is not None:
-                heappush(queue, (new, i))
+                heappush(queue, new << 32 | i)
         else:
             pair[i] = None
         h = before[i]
         if h >= 0:
-            new = get(symbol[h] + symbol[i])
+            new = get(symbol[h] + joined)
             if pair[h] != new:
                 pair[h] = new
                 if new is not None:
-                    heappush(queue, (new, h))
+                    heappush(queue, new << 32 | h)
     out, i = [], 0
     while i < n:
         out.append(ranks[symbol[i]])
@@ -173,17 +169,7 @@ class Encoder:
                 token, rank = line.split()
                 self.ranks[base64.b64decode(token)] = int(rank)
         self.strings = {i: b for b, i in self.ranks.items()}
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        # Every way to put a token together from two others: the pair as one number, and the token.
         self.width = max(self.strings) + 1
-        pairs = {
-            ranks_a * self.width + ranks_b: rank
-            for token, rank in self.ranks.items()
-            for cut in range(1, len(token))
-            if (ranks_a := self.ranks.get(token[:cut])) is not None and (ranks_b := self.ranks.get(token[cut:])) is not None
-        }
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_token = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self._forget()
 
     def _forget(self) -> None:
@@ -191,74 +177,11 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1, np.int64)
 
-    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The token of each pair, or NONE."""
-        key = left * self.width + right
-        at = np.searchsorted(self.pair_keys, key)
-        at[at == len(self.pair_keys)] = 0
-        return np.where(self.pair_keys[at] == key, self.pair_token[at], NONE)
-
-    def merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of many short pieces one after another, and their numbers.
-
-        All pieces advance in lockstep: in every round each piece takes the least rank of its queue
-        (the leftmost of equal ones), joins that pair, and only the two pairs beside it are looked up
-        again. Pieces whose queue is empty leave.
-        """
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        symbol = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
-        owner = np.repeat(np.arange(len(pieces)), size)
-        done_owner, done_symbol = [], []
-        rank = np.full(len(symbol), NONE, np.int64)
-        if len(symbol) > 1:
-            rank[:-1] = np.where(owner[1:] == owner[:-1], self._pair(symbol[:-1], symbol[1:]), NONE)
-        while len(symbol):
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            least = np.minimum.reduceat(rank * LOCKSTEP + (np.arange(len(rank)) - np.repeat(first, np.diff(first, append=len(rank)))), first)
-            live = least < NONE * LOCKSTEP
-            at = first[live] + least[live] % LOCKSTEP
-            symbol[at] = least[live] // LOCKSTEP
-            keep = np.repeat(live, np.diff(first, append=len(rank)))
-            if not live.all():
-                done_owner.append(owner[~keep])
-                done_symbol.append(symbol[~keep])
-            keep[at + 1] = False
-            new_at = (np.cumsum(keep) - 1)[at]
-            symbol, owner, rank = symbol[keep], owner[keep], rank[keep]
-            for i in (new_at - 1, new_at):
-                i = i[(i >= 0) & (i + 1 <= len(symbol))]
-                j = np.minimum(i + 1, len(symbol) - 1)
-                same = (i + 1 < len(symbol)) & (owner[i] == owner[j])
-                # The pair before a piece's first symbol belongs to the piece before and ends there.
-                rank[i] = np.where(same, self._pair(symbol[i], symbol[j]), NONE)
-        if not done_owner:
-            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
-        who, what = np.concatenate(done_owner), np.concatenate(done_symbol)
-        order = np.argsort(who, kind="stable")
-        return what[order].astype(np.int32), np.bincount(who, minlength=len(pieces))
-
     def _learn(self, new: list[str]) -> None:
         """Merge pieces that the store lacks and add them to it."""
-        raw = [p.encode("utf-8", "replace") for p in new]
-        get = self.ranks.get
-        whole = [get(r, -1) for r in raw]
-        ids: list[np.ndarray] = []
-        count = np.ones(len(new), np.int64)
-        short = [k for k, r in enumerate(raw) if whole[k] < 0 and len(r) <= LOCKSTEP_BYTES]
-        long = {k: merge(r, self.ranks) for k, r in enumerate(raw) if whole[k] < 0 and len(r) > LOCKSTEP_BYTES}
-        short_ids, short_count = self.merge_short([raw[k] for k in short])
-        count[short] = short_count
-        for k, v in long.items():
-            count[k] = len(v)
-        end = np.cumsum(count)
-        flat = np.zeros(int(end[-1]), np.int32)
-        is_whole = np.array(whole) >= 0
-        flat[(end - count)[is_whole]] = np.array(whole)[is_whole]
-        if short:
-            s, c = (end - count)[short], short_count
-            flat[np.repeat(s - (np.cumsum(c) - c), c) + np.arange(len(short_ids))] = short_ids
-        for k, v in long.items():
-            flat[end[k] - count[k] : end[k]] = v
+        merged = [merge(p.encode("utf-8", "replace"), self.ranks) for p in new]
+        end = np.cumsum(np.fromiter(map(len, merged), np.int64, len(merged)))
+        flat = np.fromiter(chain.from_iterable(merged), np.int32, int(end[-1]))
         used = int(self.start[-1])
         if used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat[:used], np.zeros(max(len(flat), used) + (1 << 16), np.int32)])
