@@ -95,7 +95,9 @@ def top_n(
 
 def merge_heaps(heaps: DataFrame, groups: Sequence[str], tie: Sequence[str], n: int, payload: Sequence[str], rank_col: str) -> DataFrame:
     """Merge partial heaps of the same groups; associative, so heaps of several inputs may be united first."""
-    one = heaps.groupBy(*groups, "score", *tie).agg(*([F.min(F.struct(*payload)).alias("_p")] if payload else [F.lit(1).alias("_p")]))
+    # Placed by group once: finding equal items and ranking both keep that placement.
+    placed = heaps.repartition(*groups)
+    one = placed.groupBy(*groups, "score", *tie).agg(*([F.min(F.struct(*payload)).alias("_p")] if payload else [F.lit(1).alias("_p")]))
     place = Window.partitionBy(*groups).orderBy(F.col("score").desc(), *[F.col(t).asc_nulls_last() for t in tie])
     ranked = one.withColumn(rank_col, F.row_number().over(place)).where(F.col(rank_col) <= n)
     return ranked.select(*groups, rank_col, "score", *tie, *[F.col(f"_p.{p}").alias(p) for p in payload])
