@@ -132,7 +132,8 @@ def similar_classes(rows: DataFrame, threshold: float, width: int = 3, bands: in
     sig = cut_lineage(_bands(reps, width, bands, per_band))
     members = sig.select("rep", F.explode("h").alias("h"))
     crowded = members.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
-    shared = members.join(crowded, "h").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+    # Both sides of the bucket join read this small table; without it each would join all members again.
+    shared = cut_lineage(members.join(crowded, "h").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")))
     all_cells = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
     left = shared.select("h", F.col("rep").alias("a"), F.col("own").alias("s"), all_cells.alias("t"))
     right = shared.select("h", F.col("rep").alias("b"), all_cells.alias("s"), F.col("own").alias("t"))
