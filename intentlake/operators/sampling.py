@@ -79,7 +79,8 @@ def pools(samples: DataFrame, sample_key: Sequence[str], gold: str, catalogue: D
     )
     key = F.sha2(F.concat_ws("|", F.lit(f"{seed}"), F.col("pool_size"), *[F.col(k).cast("string") for k in sample_key], "name"), 256)
     order = Window.partitionBy(*sample_key, "pool_size").orderBy(key, "name")
-    return both.withColumn("pos", F.row_number().over(order)).select(*sample_key, "pool_size", "name", "pos", "is_gold")
+    # Pools are joined several times by what follows; they are drawn once.
+    return cut_lineage(both.withColumn("pos", F.row_number().over(order)).select(*sample_key, "pool_size", "name", "pos", "is_gold"))
 
 
 def first_n(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:

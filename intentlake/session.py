@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there afterwards."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Let the Python workers import this package, once for each context.
+
+    Nothing is done where PYTHONPATH names the package's folder, as workers inherit it; else the package
+    is packed and added to the context, which hands it to every executor.
+    """
+    root = Path(__file__).resolve().parent.parent
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc = spark.sparkContext
+    if _SHIPPED.get("context") == sc.applicationId:
+        return
+    packed = Path(tempfile.mkdtemp(prefix="intentlake-package-")) / "intentlake.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted((root / "intentlake").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(packed))
+    _SHIPPED["context"] = sc.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
