@@ -106,13 +106,13 @@ def read_generated_queries(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(name.alias("name"), "ord", F.trim("x.query").alias("query")).where("name is not null and query <> ''")
 
 
-def read_pool(spark: SparkSession, path: str, body_chars: int | None = 1800) -> DataFrame:
+def read_pool(spark: SparkSession, path: str, body_chars: int | None = 1800, category: str | None = None) -> DataFrame:
     """(``name``, ``description``, ``category``) of a skill pool: name, description and the compacted body's first characters, empty parts left out."""
     rows = read_jsonl(spark, path, "skill_id string, name string, description string, body string, source string")
     parts = [F.nullif(F.trim("name"), F.lit("")), F.nullif(F.trim("description"), F.lit(""))]
     if body_chars is not None:
         parts.append(F.nullif(compact_text(F.col("body"), body_chars), F.lit("")))
-    return rows.select(F.col("skill_id").alias("name"), F.concat_ws("\n", *parts).alias("description"), F.lit("skillrouter").alias("category"))
+    return rows.select(F.col("skill_id").alias("name"), F.concat_ws("\n", *parts).alias("description"), F.lit(category).cast("string").alias("category"))
 
 
 def compact_text(text: Column, limit: int) -> Column:
