@@ -4,6 +4,8 @@ Each ordering projects the unit vectors onto a few random orthonormal directions
 random offset and sorts them along a Hilbert curve. The sorted table is range-partitioned; inside a
 partition every block of neighbouring keys is compared with itself and the blocks before and after
 it by one matrix product, and each vector keeps its best ``k``. The lists of all orderings are merged.
+The curve goes down to cells of about the resolution of the directions, so that near-copies, of which
+one coarse cell can hold any number, are ordered among themselves as other vectors are.
 
 Directions have 24-bit fixed-point components on the way through the shuffles (192 bytes instead of
 256, cosines exact to about 1e-8). Copies of one direction are one point, represented by the least
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from intentlake.session import cut_lineage
 
 ORDERINGS = 5
-PROJECTED, BITS = 12, 5
+#: Bits of a projection in one part of the key, and the parts: the first part is the cell, the others refine it.
+PROJECTED, BITS, PARTS = 12, 5, 3
 #: Rows of a block; a vector meets at least so many neighbours on either side in each ordering.
 BLOCK = 2048
 #: Rows of a range partition that are aimed at, and what the number of partitions is at most.
@@ -34,9 +37,18 @@ SCALE = float((1 << 23) - 1)
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     """Positions along the Hilbert curve through a grid of 2**bits cells a side.
 
-    From the published transform between axes and the transposed curve index, for all points at once;
     ``points`` is (rows, dimensions) of cell numbers and dimensions * bits is at most 63.
     """
+    return hilbert_parts(points, bits, 1)[0]
+
+
+def hilbert_parts(points: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """(parts, rows): positions along the curve through a grid of 2**(bits * parts) cells a side, most significant part first.
+
+    From the published transform between axes and the transposed curve index, for all points at once.
+    The first part is the position of the coarse cell of 2**bits a side; dimensions * bits is at most 63.
+    """
+    each, bits = bits, bits * parts
     x = np.ascontiguousarray(points.T.astype(np.uint32))
     dims = len(x)
     for level in range(bits - 1, 0, -1):
@@ -52,10 +64,11 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     for level in range(bits - 1, 0, -1):
         flips ^= np.where((x[dims - 1] >> np.uint32(level)) & np.uint32(1), np.uint32((1 << level) - 1), np.uint32(0))
     x ^= flips
-    key = np.zeros(x.shape[1], np.int64)
+    key = np.zeros((parts, x.shape[1]), np.int64)
     for level in range(bits - 1, -1, -1):
+        part = parts - 1 - level // each
         for i in range(dims):
-            key = (key << 1) | ((x[i] >> np.uint32(level)) & np.uint32(1)).astype(np.int64)
+            key[part] = (key[part] << 1) | ((x[i] >> np.uint32(level)) & np.uint32(1)).astype(np.int64)
     return key
 
 
@@ -65,15 +78,16 @@ def frames(dim: int, orderings: int, projected: int) -> list[tuple[np.ndarray, n
     return [(np.linalg.qr(r.standard_normal((dim, dim)))[0][:, :projected], r.random(projected)) for _ in range(orderings)]
 
 
-def ordering_keys(unit: np.ndarray, orderings: int, projected: int, bits: int) -> np.ndarray:
-    """(rows, orderings): the ordering's number above the key along its curve."""
+def ordering_keys(unit: np.ndarray, orderings: int, projected: int, bits: int, parts: int = PARTS) -> np.ndarray:
+    """(parts, orderings, rows): the parts of the key along each ordering's curve, the ordering's number above the first."""
     dim = unit.shape[1]
-    out = np.empty((len(unit), orderings), np.int64)
+    out = np.empty((parts, orderings, len(unit)), np.int64)
     for o, (directions, shift) in enumerate(frames(dim, orderings, projected)):
         # A logistic curve spreads the projections of unit vectors evenly over the grid.
         even = 1 / (1 + np.exp(-1.7 * np.sqrt(dim) * (unit @ directions)))
-        cell = ((even + shift) * (1 << (bits - 1))).astype(np.int64)
-        out[:, o] = (o << (projected * bits)) | hilbert_key(np.minimum(cell, (1 << bits) - 1), bits)
+        cell = ((even + shift) * (1 << (bits * parts - 1))).astype(np.int64)
+        out[:, o] = hilbert_parts(np.minimum(cell, (1 << bits * parts) - 1), bits, parts)
+        out[0, o] |= o << (projected * bits)
     return out
 
 
@@ -84,11 +98,12 @@ def pack(unit: np.ndarray) -> np.ndarray:
 
 
 def unpack(code: pa.Array, dim: int) -> np.ndarray:
-    """The float64 components of packed vectors."""
+    """The float64 unit vectors of packed ones; the length that rounding left is no part of the direction."""
     raw = np.frombuffer(code.buffers()[2], np.uint8)[: (code.offset + len(code)) * 3 * dim][code.offset * 3 * dim :]
     wide = np.zeros((len(code), dim, 4), np.uint8)
     wide[:, :, 1:] = raw.reshape(len(code), dim, 3)
-    return (wide.view("<i4")[:, :, 0] >> 8) / SCALE
+    v = (wide.view("<i4")[:, :, 0] >> 8) / SCALE
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
 def usable(vector: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +125,7 @@ def best_in_block(block: np.ndarray, ids: np.ndarray, around: np.ndarray, around
     rows = np.arange(len(block))
     score[rows, rows + self_at] = -3
     k = min(k, score.shape[1])
-    who, best = np.empty((len(block), k), np.int64), np.empty((len(block), k), np.float32)
+    who, best = np.empty((len(block), k), np.int64), np.empty((len(block), k))
     for j in range(k):
         at = score.argmax(axis=1)
         who[:, j], best[:, j] = at, score[rows, at]
@@ -153,9 +168,9 @@ def _candidates(keyed: DataFrame, dim: int, k: int) -> DataFrame:
             unit = np.concatenate([x[2] for x in near])
             if len(ids) < 2:
                 return None
-            small = unit.astype(np.float32)
-            who, best = best_in_block(small[at : at + len(own[1])], own[1], small, ids, at, k)
-            # Exact cosines of the chosen; what was masked is no neighbour.
+            # In double precision: the cosines of near-copies differ by less than single precision can tell.
+            who, best = best_in_block(own[2], own[1], unit, ids, at, k)
+            # The same sum for a pair in every ordering; what was masked is no neighbour.
             exact = np.einsum("ij,ikj->ik", own[2], unit[who])
             real = best > -2
             size = real.sum(axis=1)
@@ -235,6 +250,7 @@ def nearest(
     hashed = cut_lineage(points.select("id", F.xxhash64("code").alias("h1"), F.hash("code").alias("h2")))
     classes = cut_lineage(_least_ids(hashed, k + 1))
     copies = classes.where("n > 1").select("h1", "h2", "ids", "n")
+    names = [f"key{part}" for part in range(PARTS)]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,14 +259,17 @@ def nearest(
             code = batch.column(1)
             key = ordering_keys(unpack(code, dim), orderings, projected, BITS)
             at = pa.array(np.tile(np.arange(len(code)), orderings))
-            yield pa.RecordBatch.from_arrays([pa.array(key.T.reshape(-1)), batch.column(0).take(at), code.take(at)], ["key", "id", "code"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(part.reshape(-1)) for part in key], batch.column(0).take(at), code.take(at)], [*names, "id", "code"])
 
     total = classes.agg(F.count("*")).first()[0]
     parts = max(1, -(-total * orderings // partition_rows))
     followers = _followers(hashed, copies)
     single = points.join(followers.select("id"), "id", "left_anti")
-    keyed = single.mapInArrow(keys, "key bigint, id bigint, code binary").repartitionByRange(parts, "key").sortWithinPartitions("key", "id")
-    keyed = keyed.select(F.shiftright("key", projected * BITS).alias("ordering"), "id", "code")
+    # Rows that even the finest cell can't tell apart stand in another order in each ordering.
+    ordering = F.shiftright(names[0], projected * BITS)
+    by = [*names, F.xxhash64(ordering, "id"), "id"]
+    keyed = single.mapInArrow(keys, ", ".join(f"{n} bigint" for n in names) + ", id bigint, code binary")
+    keyed = keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by).select(ordering.alias("ordering"), "id", "code")
     found = _merge(_candidates(keyed, dim, k), k)
     return _with_copies(found, classes, followers, k)
 

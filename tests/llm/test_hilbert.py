@@ -78,3 +78,40 @@ def test_few_dimensions(spark):
     v = r.standard_normal((200, 3)).astype(np.float32)
     ids = np.arange(200)
     assert run(spark, ids, v, 4, dim=3) == neighbours(ids, v, 4)
+
+
+def test_parts_refine_the_coarse_key():
+    r = np.random.default_rng(6)
+    fine = r.integers(0, 1 << 9, (2000, 4))
+    parts = hilbert.hilbert_parts(fine, 3, 3)
+    assert (parts[0] == hilbert.hilbert_key(fine >> 6, 3)).all()
+    assert ((parts[0] << 24 | parts[1] << 12 | parts[2]) == hilbert.hilbert_key(fine, 9)).all()
+
+
+def test_recall_in_a_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "BLOCK", 64)
+    r = np.random.default_rng(7)
+    n, ids = 6000, np.arange(6000)
+    for cosine in (0.9999, 0.999999):
+        v = clustered(n, 8).astype(np.float64)
+        group = r.permutation(n)[: n // 3]
+        residual = clustered(len(group), 9).astype(np.float64)
+        residual /= np.linalg.norm(residual, axis=1)[:, None]
+        centre = r.standard_normal(64)
+        v[group] = centre / np.linalg.norm(centre) + np.sqrt(1 / cosine**2 - 1) * residual
+        # Lengths differ, which is nothing to a direction.
+        v = (v * r.uniform(0.1, 10, n)[:, None]).astype(np.float32)
+        want, got = neighbours(ids, v, 5), run(spark, ids, v, partition_rows=8000)
+        recall = np.mean([len(set(want[i]) & set(got.get(i, []))) / 5 for i in group])
+        assert recall >= 0.85, (cosine, recall)
+
+
+def test_rescaled_copies_fill_a_third(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "BLOCK", 64)
+    r = np.random.default_rng(10)
+    n, ids = 3000, np.arange(3000)
+    v = clustered(n, 11)
+    group = r.permutation(n)[: n // 3]
+    v[group] = v[group[0]] * r.uniform(0.1, 10, len(group)).astype(np.float32)[:, None]
+    got, copies = run(spark, ids, v), set(group.tolist())
+    assert all(len(got[i]) == 5 and copies.issuperset(got[i]) for i in copies)
