@@ -538,7 +538,10 @@ def convert_value_types(spark, sf_dir):
 
 
 def judged(spark, sf_dir):
-    """Ranked tools of every logged request and its gold: the tools of hits that score 0.9 or more."""
+    """Ranked tools of the logged requests that have gold, a third of the tools by the hash of their names, as the SQL states it.
+
+    Requests without such a tool are left out; ``scored`` has all requests and takes gold from the data.
+    """
     hits = read(spark, sf_dir, "hits").where("tool_name is not null and score > 0 and score < double('infinity')")
     best = hits.groupBy("qid", T.tool_key("tool_name").alias("tool")).agg(F.max("score").alias("score"))
     ranked = ranking.ranked_lists(ranking.top_k(best, ["qid"], ranking.by_score("tool"), 50), ["qid"], "tool")
@@ -570,6 +573,44 @@ def evaluate_strata(spark, sf_dir):
     return rows.select("stratum", "count", *[F.round(n, 9).alias(n) for n in _METRICS])
 
 
+def scored(spark, sf_dir):
+    """Ranked tools of every logged request and its gold: the tools of hits that score 0.9 or more. Without any, ranking or gold is empty."""
+    hits = read(spark, sf_dir, "hits").where("qid is not null")
+    valid = hits.where("tool_name is not null and score > 0 and score < double('infinity')")
+    best = valid.groupBy("qid", T.tool_key("tool_name").alias("tool")).agg(F.max("score").alias("score"))
+    ranked = ranking.ranked_lists(ranking.top_k(best, ["qid"], ranking.by_score("tool"), 50), ["qid"], "tool")
+    gold = best.where("score >= 0.9").groupBy("qid").agg(F.sort_array(F.collect_set("tool")).alias("gold"))
+    rows = hits.select("qid").distinct().join(ranked, "qid", "left").join(gold, "qid", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("qid", F.coalesce("ranked", none).alias("ranked"), F.coalesce("gold", none).alias("gold"))
+
+
+_SCORED = (
+    "best as (select qid, " + O.key("tool_name") + " as tool, max(score) as score from hits where tool_name is not null and isfinite(score) and score > 0 group by all), "
+    "rk as (select *, row_number() over (partition by qid order by score desc, tool) as r from best), rl as (select qid, list(tool order by r) as ranked from rk where r <= 50 group by 1), "
+    "gl as (select qid, list(tool order by tool) as gold from best where score >= 0.9 group by 1), "
+    "scored as (select q.qid, coalesce(ranked, []) as ranked, coalesce(gold, []) as gold from (select distinct qid from hits where qid is not null) q left join rl using (qid) left join gl using (qid))"
+)
+_SCORED_METRICS = {n: f"case when len(gold) = 0 then 0.0 else {e} end" if n.startswith("recall") else e for n, e in _METRICS.items()}
+
+
+@query(f"with {_SCORED} select qid, " + ", ".join(f"round({e}, 9) as {n}" for n, e in _SCORED_METRICS.items()) + " from scored")
+def evaluate_scored_rankings(spark, sf_dir):
+    """The metrics of every logged request, those without gold included."""
+    rows = scored(spark, sf_dir)
+    return rows.select("qid", *[F.round(m, 9).alias(n) for n, m in metrics.all_metrics(F.col("ranked"), F.col("gold")).items()])
+
+
+@query(
+    f"with {_SCORED}, m as (select len(gold) as g, " + ", ".join(f"{e} as {n}" for n, e in _SCORED_METRICS.items()) + " from scored where len(gold) > 0), s as (select 'all' as stratum, * from m union all select case when g = 1 then 'single' else 'multi' end, * from m) "
+    "select stratum, count(*) as count, " + ", ".join(f"round(avg({n}), 9) as {n}" for n in _METRICS) + " from s group by 1"
+)
+def evaluate_scored_strata(spark, sf_dir):
+    """The report over all logged requests; by its rule those without gold are in no stratum."""
+    rows = evaluate.ranking_report(scored(spark, sf_dir), "ranked", "gold", "gold")
+    return rows.select("stratum", "count", *[F.round(n, 9).alias(n) for n in _METRICS])
+
+
 @query(
     f"with a as (select qid, hit_id as o, score > 0.5 as f from hits), l as (select qid, arg_max(f, o) as a_f from (select distinct qid, o, f from a) group by 1), "
     "m as (select qid, max(o) as o from a group by 1), la as (select m.qid, any_value(a.f) as f from m join a on a.qid = m.qid and a.o = m.o group by 1), "
