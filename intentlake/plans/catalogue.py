@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -338,14 +339,16 @@ def rank_hit_tools(spark, sf_dir):
 # ---- pools, filters, selection
 
 _SIZES = (10, 50)
+#: The sizes of the published benchmarks; skills go up to 200.
+_SCALED_SIZES = (2, 5, 10, 20, 50, 100, 200)
 
 
-def case_pools(spark, sf_dir):
-    """Pools of 10 and 50 tools for every case that has a known tool."""
+def case_pools(spark, sf_dir, sizes=_SIZES):
+    """Pools of each size, 10 and 50 tools unless given, for every case that has a known tool."""
     names = keyed_tools(spark, sf_dir).select("ord", "name")
     catalogue = sampling.dense_index(names, ["ord"]).select("idx", "name")
     asked = keyed_cases(spark, sf_dir).withColumn("gold", F.array_compact(F.array("ground_truth_tool")))
-    return sampling.pools(asked, ["ord"], "gold", catalogue, _SIZES)
+    return sampling.pools(asked, ["ord"], "gold", catalogue, sizes)
 
 
 def _pools_sql() -> str:
@@ -370,18 +373,18 @@ _POOLS = _pools_sql()
 
 
 @query(f"with {_POOLS} select ord, pool_size, name, pos, is_gold from pools")
-def sample_pools(spark, sf_dir):
-    return case_pools(spark, sf_dir).select("ord", "pool_size", "name", F.col("pos").cast("bigint").alias("pos"), "is_gold")
+def sample_pools(spark, sf_dir, sizes=_SIZES):
+    return case_pools(spark, sf_dir, sizes).select("ord", "pool_size", "name", F.col("pos").cast("bigint").alias("pos"), "is_gold")
 
 
 @query(
     f"with {_POOLS}, {_BM_TOOLS}, k as (select p.ord, p.pool_size, p.name, p.pos, t.rank as gr from pools p left join tr t on t.ord = p.ord and t.tool_name = p.name), "
     "r as (select *, row_number() over (partition by ord, pool_size order by gr nulls last, pos) as rank from k) select ord, pool_size, string_agg(name, '|' order by rank) as ranked from r where rank <= 10 group by all"
 )
-def filter_after_ranking(spark, sf_dir):
+def filter_after_ranking(spark, sf_dir, sizes=_SIZES):
     """A global ranking cut down to each pool and topped up in pool order."""
     ranked = bm25_tools(spark, sf_dir, 2**31 - 1).withColumnRenamed("tool_name", "name")
-    rows = pipelines.within_pool(ranked, case_pools(spark, sf_dir), ["ord"], "name", 10, fill=True)
+    rows = pipelines.within_pool(ranked, case_pools(spark, sf_dir, sizes), ["ord"], "name", 10, fill=True)
     return rows.select("ord", "pool_size", F.array_join("ranked", "|").alias("ranked"))
 
 
@@ -394,15 +397,15 @@ _SCOPED = (
 )
 
 
-def scoped_tools(spark, sf_dir, k):
+def scoped_tools(spark, sf_dir, k, sizes=_SIZES):
     """Tools of every pool from an index over the pool's manual entries only."""
-    drawn = case_pools(spark, sf_dir)
+    drawn = case_pools(spark, sf_dir, sizes)
     return drawn, pipelines.scoped_ranking(read(spark, sf_dir, "cases"), drawn, keyed_manual(spark, sf_dir), k)
 
 
 @query(f"with {_SCOPED} select ord, pool_size, tool_name, rank, n_hits, score from tr where rank <= 5")
-def filter_before_ranking(spark, sf_dir):
-    return scoped_tools(spark, sf_dir, 5)[1].select("ord", "pool_size", "tool_name", F.col("rank").cast("bigint").alias("rank"), "n_hits", "score")
+def filter_before_ranking(spark, sf_dir, sizes=_SIZES):
+    return scoped_tools(spark, sf_dir, 5, sizes)[1].select("ord", "pool_size", "tool_name", F.col("rank").cast("bigint").alias("rank"), "n_hits", "score")
 
 
 @query(
@@ -410,9 +413,9 @@ def filter_before_ranking(spark, sf_dir):
     "pd as (select gd.*, coalesce(t.tool_name, f.fallback) as predicted from gd join f using (ord, pool_size) left join tr t on t.ord = gd.ord and t.pool_size = gd.pool_size and t.rank = 1) "
     "select pool_size, count(*) as total, count(*) as evaluated, sum((predicted = gold)::int)::bigint as correct, round(avg((predicted = gold)::int), 9) as accuracy from pd group by 1"
 )
-def evaluate_by_pool_size(spark, sf_dir):
+def evaluate_by_pool_size(spark, sf_dir, sizes=_SIZES):
     """Accuracy of the first tool, or the pool's first without any, by pool size."""
-    drawn, tools = scoped_tools(spark, sf_dir, 1)
+    drawn, tools = scoped_tools(spark, sf_dir, 1, sizes)
     gold = drawn.groupBy("ord", "pool_size").agg(F.array_compact(F.collect_list(F.when(F.col("is_gold"), F.col("name")))).alias("gold"), F.min_by("name", "pos").alias("first"))
     rows = gold.join(tools.select("ord", "pool_size", "tool_name"), ["ord", "pool_size"], "left").withColumn("predicted", F.coalesce("tool_name", "first"))
     flagged = rows.withColumn("is_correct", metrics.is_correct(F.col("predicted"), F.col("gold")))
@@ -424,15 +427,21 @@ def evaluate_by_pool_size(spark, sf_dir):
     f"o as (select *, {O.overlap(O.tok('query'), O.tok('doc'))} as ov from d), r as (select *, row_number() over (partition by ord, pool_size order by ov desc, pos) as r from o) "
     "select ord, pool_size, case when ov > 0 then name end as selected, round(ov, 9) as overlap from r where r = 1"
 )
-def select_by_overlap(spark, sf_dir):
+def select_by_overlap(spark, sf_dir, sizes=_SIZES):
     tools = keyed_tools(spark, sf_dir)
     texts = tools.select("name", manual.terms_of(manual.tool_text(F.col("name"), F.col("description"), F.col("parameters"))).alias("doc"))
     asked = read(spark, sf_dir, "cases").select("ord", manual.terms_of(F.col("query")).alias("terms"))
-    rows = case_pools(spark, sf_dir).join(asked, "ord").join(texts, "name")
+    rows = case_pools(spark, sf_dir, sizes).join(asked, "ord").join(texts, "name")
     chosen = manual.select_tool(rows, ["ord", "pool_size"], "terms", "doc", "name", "pos")
     return chosen.select("ord", "pool_size", "selected", F.round("overlap", 9).alias("overlap"))
 
 
+for _f in (sample_pools, filter_after_ranking, filter_before_ranking, evaluate_by_pool_size, select_by_overlap):
+    # The same over pools of all published sizes.
+    _QUERIES[f"{_f.__name__}_scaled"] = partial(_f, sizes=_SCALED_SIZES)
+    _SQL[f"{_f.__name__}_scaled"] = _SQL[_f.__name__].replace("[10, 50]", str(list(_SCALED_SIZES)))
+
+
 @query(f"with {O.M} select entry_ord, tool_name from manual_n m where not exists (select 1 from tools t where {O.key('t.name')} = m.tool_name)")
 def join_unknown_tools(spark, sf_dir):
     names = read(spark, sf_dir, "tools").select(T.tool_key("name").alias("tool_name"))

@@ -13,3 +13,12 @@ def test_every_request_is_judged_by_scores(spark, tmp_path):
         assert (got[q].recall_10, got[q].ndcg_10, got[q].full_coverage_3) == (0, 0, 1)
     strata = {r.stratum: r["count"] for r in catalogue.queries()["evaluate_scored_strata"](spark, str(tmp_path)).collect()}
     assert strata == {"all": 2, "single": 1, "multi": 1}
+
+
+def test_pools_of_all_published_sizes(spark, tmp_path):
+    tools = [(i, f"tool {i}") for i in range(250)]
+    spark.createDataFrame(tools, "ord long, name string").write.parquet(f"{tmp_path}/tools.parquet")
+    spark.createDataFrame([(0, "q", "tool 7")], "ord long, query string, ground_truth_tool string").write.parquet(f"{tmp_path}/cases.parquet")
+    rows = catalogue.queries()["sample_pools_scaled"](spark, str(tmp_path)).groupBy("pool_size").count().collect()
+    assert {r.pool_size: r["count"] for r in rows} == {n: n for n in (2, 5, 10, 20, 50, 100, 200)}
+    assert {f"{q}_scaled" for q in ("filter_after_ranking", "filter_before_ranking", "evaluate_by_pool_size", "select_by_overlap")} <= set(catalogue.oracle_sql())
