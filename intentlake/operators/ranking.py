@@ -129,3 +129,85 @@ def _block_search(shared, dim: int, k: int):
         )
 
     return run
+
+
+#: Units that are compared with a query block at once.
+UNIT_BLOCK = 1024
+
+
+def dense_tool_search(
+    df: DataFrame, id_col: str, tool_col: str, vector_col: str, queries: DataFrame, dim: int, k: int, block: int = QUERY_BLOCK
+) -> DataFrame:
+    """(``query_id``, ``rank``, tool, ``score``): the k best tools of every query vector over all their units, the query itself left out.
+
+    A tool's score is the mean of its three greatest cosines plus 0.05 for each of its units up to five.
+    The units of a tool lie together, so that each task keeps k tools for each query of a block and
+    the best three of the tool at hand. Equal scores: the smaller tool name first. Usable vectors are
+    those of ``dense_search``; rows without a tool take no part.
+    """
+    columns = [F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")]
+    rows = df.select(*columns, F.col(tool_col).alias("tool")).where("id is not null and v is not null and tool is not null")
+    rows = rows.repartition("tool").sortWithinPartitions("tool")
+    found = None
+    for ids, unit in _query_blocks(queries.select(*columns).where("id is not null and v is not null"), dim, block):
+        shared = df.sparkSession.sparkContext.broadcast((ids, unit))
+        part = rows.mapInArrow(_tool_search(shared, dim, k), "query_id bigint, tool string, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = df.sparkSession.createDataFrame([], "query_id bigint, tool string, score double")
+    return top_k(found, ["query_id"], by_score("tool"), k).select("query_id", "rank", F.col("tool").alias(tool_col), "score")
+
+
+def _tool_search(shared, dim: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, query = shared.value
+        n = len(query_ids)
+        best, names = np.full((n, k), -np.inf), np.full((n, k), "", object)
+        done: list[tuple[str, np.ndarray]] = []
+        tool, top, units = None, None, None
+
+        def merge():
+            nonlocal best, names
+            # Tools come in the order of their names and the sort is stable, so equal scores keep it.
+            score = np.concatenate([best, *[x[1][:, None] for x in done]], axis=1)
+            every = np.concatenate([names, np.broadcast_to(np.array([x[0] for x in done], object), (n, len(done)))], axis=1)
+            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            best, names = np.take_along_axis(score, order, 1), np.take_along_axis(every, order, 1)
+            done.clear()
+
+        def finish():
+            size = np.minimum(units, 3)
+            total = np.where(np.isfinite(top), top, 0).sum(axis=1)
+            done.append((tool, np.where(units > 0, np.round(total / np.maximum(size, 1) + 0.05 * np.minimum(units, 5), 9), -np.inf)))
+            if len(done) == 64:
+                merge()
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, UNIT_BLOCK):
+                piece = batch.slice(start, UNIT_BLOCK)
+                at, unit = _unit(piece.column(1).to_pylist(), dim)
+                if not len(at):
+                    continue
+                ids, tools = piece.column(0).to_numpy()[at], np.array(piece.column(2).to_pylist(), object)[at]
+                score = np.round(query @ unit.T, 9)
+                own = query_ids[:, None] == ids[None, :]
+                score[own] = -np.inf
+                edges = np.flatnonzero(tools[1:] != tools[:-1]) + 1
+                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(tools)]):
+                    if tools[a] != tool:
+                        if tool is not None:
+                            finish()
+                        tool, top, units = tools[a], np.full((n, 3), -np.inf), np.zeros(n, np.int64)
+                    both = np.concatenate([top, score[:, a:b]], axis=1)
+                    top = np.partition(both, both.shape[1] - 3, axis=1)[:, -3:]
+                    units = units + (b - a) - own[:, a:b].sum(axis=1)
+        if tool is not None:
+            finish()
+        if done:
+            merge()
+        real = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(query_ids, real.sum(axis=1))), pa.array(names[real].tolist(), pa.string()), pa.array(best[real])], ["query_id", "tool", "score"]
+        )
+
+    return run

@@ -194,6 +194,21 @@ def vector_tool_search(spark, sf_dir):
     return pipelines.rank_tools(near.where("score > 0").join(names, "id").where("tool is not null"), ["query_id"], "tool", 10, "id")
 
 
+@query(
+    f"with u as (select unit_id, {O.key('tool_name')} as tool, vector::double[] as v from query_augmented_units where unit_id is not null and len(vector) = 64 "
+    "and len(list_filter(vector, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0), "
+    "s as (select q.unit_id as query_id, u.tool, u.unit_id, round(list_cosine_similarity(q.v, u.v), 9) as score from u q join u on u.unit_id <> q.unit_id where q.unit_id % 100 = 0 and u.tool is not null), "
+    "h as (select *, row_number() over (partition by query_id, tool order by score desc) as r, count(*) over (partition by query_id, tool) as n from s), "
+    "t as (select query_id, tool, round(sum(case when r <= 3 then score else 0 end) / least(any_value(n), 3) + 0.05 * least(any_value(n), 5), 9) as score from h group by all), "
+    "k as (select *, row_number() over (partition by query_id order by score desc, tool) as rank from t) select query_id, tool, rank, score from k where rank <= 10"
+)
+def vector_unit_tools(spark, sf_dir):
+    """Tools for every hundredth unit from all units, by the mean of a tool's best three cosines and its number of units."""
+    units = read(spark, sf_dir, "query_augmented_units").withColumn("tool", T.tool_key("tool_name"))
+    rows = ranking.dense_tool_search(units, "unit_id", "tool", "vector", units.where("unit_id % 100 = 0"), 64, 10)
+    return rows.select("query_id", "tool", F.col("rank").cast("bigint").alias("rank"), F.round("score", 9).alias("score"))
+
+
 # ---- indexes and retrieval
 
 

@@ -22,3 +22,13 @@ def test_pools_of_all_published_sizes(spark, tmp_path):
     rows = catalogue.queries()["sample_pools_scaled"](spark, str(tmp_path)).groupBy("pool_size").count().collect()
     assert {r.pool_size: r["count"] for r in rows} == {n: n for n in (2, 5, 10, 20, 50, 100, 200)}
     assert {f"{q}_scaled" for q in ("filter_after_ranking", "filter_before_ranking", "evaluate_by_pool_size", "select_by_overlap")} <= set(catalogue.oracle_sql())
+
+
+def test_dense_tools_count_all_units(spark, tmp_path):
+    # Sixty units of one tool lie nearest, so a cut at fifty units would leave one tool.
+    v = lambda x: [1.0, x] + [0.0] * 62
+    rows = [(0, "query", v(0.0))] + [(i, "hot", v(i / 1e4)) for i in range(1, 61)] + [(60 + i, f"tool {i}", v(-0.5 - i)) for i in range(1, 13)]
+    spark.createDataFrame(rows, "unit_id long, tool_name string, vector array<float>").write.parquet(f"{tmp_path}/query_augmented_units.parquet")
+    got = catalogue.queries()["vector_unit_tools"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r.tool for r in got] == ["hot", *[f"tool {i}" for i in range(1, 10)]]
+    assert abs(got[0].score - 1.25) < 1e-6
