@@ -111,21 +111,25 @@ class _Pooled(Bm25Index):
         return Bm25Index(inside, self.stats, self.keys, self.pool).postings(only)
 
 
-def smooth_idf(docs: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    """(``term``, ``df``, ``idf``) with idf = ln((N + 1) / (df + 1)) + 1 over all documents."""
-    counts = term_counts(docs, keys, text)
-    n = docs.agg(F.count("*").alias("n_docs"))
+def smooth_idf(docs: DataFrame, keys: Sequence[str], text: Column, pool: Sequence[str] = ()) -> DataFrame:
+    """(pool, ``term``, ``df``, ``idf``) with idf = ln((N + 1) / (df + 1)) + 1 over all documents of the pool."""
+    frequency = document_frequency(term_counts(docs, [*pool, *keys], text), pool)
+    n = docs.groupBy(*pool).agg(F.count("*").alias("n_docs"))
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
-    return document_frequency(counts).join(F.broadcast(n)).select("term", "df", idf.alias("idf"))
+    rows = frequency.join(n, list(pool)) if pool else frequency.join(F.broadcast(n))
+    return rows.select(*pool, "term", "df", idf.alias("idf"))
 
 
-def hashed_vectors(docs: DataFrame, keys: Sequence[str], text: Column, idf: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
-    """(keys, ``idx``, ``w``): sparse unit vectors of hashed TF-IDF weights.
+def hashed_vectors(
+    docs: DataFrame, keys: Sequence[str], text: Column, idf: DataFrame, dims: int = DIMENSIONS, pool: Sequence[str] = ()
+) -> DataFrame:
+    """(pool, keys, ``idx``, ``w``): sparse unit vectors of hashed TF-IDF weights.
 
     A term adds sign * (1 + ln tf) * idf at its bucket; the sign comes from a second hash, unknown terms
     have idf 1. Documents whose weights are all 0 or that have no tokens have no rows.
     """
-    terms = term_counts(docs, keys, text).join(idf.select("term", "idf"), "term", "left")
+    keys = [*pool, *keys]
+    terms = term_counts(docs, keys, text).join(idf.select(*pool, "term", "idf"), [*pool, "term"], "left")
     sign = F.when(hash_bucket(F.concat(F.lit("sign:"), "term"), 2) == 0, 1.0).otherwise(-1.0)
     weight = sign * (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(1.0))
     cells = terms.select(*keys, hash_bucket("term", dims).alias("idx"), weight.alias("w")).groupBy(*keys, "idx").agg(F.sum("w").alias("w"))
@@ -133,7 +137,7 @@ def hashed_vectors(docs: DataFrame, keys: Sequence[str], text: Column, idf: Data
     return cells.join(norms, list(keys)).where("norm > 0").select(*keys, "idx", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def sparse_cosine(queries: DataFrame, query_keys: Sequence[str], docs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(query keys, keys, ``score``) of sparse unit vectors that share a dimension: an equi-join on the dimension."""
-    met = queries.withColumnRenamed("w", "qw").join(docs, "idx")
-    return met.groupBy(*query_keys, *keys).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+def sparse_cosine(queries: DataFrame, query_keys: Sequence[str], docs: DataFrame, keys: Sequence[str], pool: Sequence[str] = ()) -> DataFrame:
+    """(pool, query keys, keys, ``score``) of sparse unit vectors that share a dimension: an equi-join on pool and dimension."""
+    met = queries.withColumnRenamed("w", "qw").join(docs, [*pool, "idx"])
+    return met.groupBy(*pool, *query_keys, *keys).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))

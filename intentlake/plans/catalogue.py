@@ -451,6 +451,28 @@ def select_by_overlap(spark, sf_dir, sizes=_SIZES):
     return chosen.select("ord", "pool_size", "selected", F.round("overlap", 9).alias("overlap"))
 
 
+_SIGN = f"case when {O.bucket(chr(39) + 'sign:' + chr(39) + ' || term', 2)} = 0 then 1.0 else -1.0 end"
+
+
+@query(
+    f"with {_POOLS}, docs as (select name, {O.tool_doc()} as document from tools_n), pd as (select ord, pool_size, pos as place, document from pools join docs using (name)), "
+    "pq as (select distinct p.ord, p.pool_size, c.query from pools p join cases c using (ord)), "
+    f"{O.counts_cte('dc', 'pd', 'ord, pool_size, place', 'document')}, {O.counts_cte('qc', 'pq', 'ord, pool_size', 'query')}, "
+    "np as (select ord, pool_size, count(*) as n from pd group by all), idf as (select ord, pool_size, term, ln((any_value(np.n) + 1) / (count(*) + 1)) + 1 as idf from dc join np using (ord, pool_size) group by all), "
+    f"dw as (select ord, pool_size, place, {O.bucket('term', 2048)} as idx, sum({_SIGN} * (1 + ln(tf)) * idf) as w from dc join idf using (ord, pool_size, term) group by all), "
+    f"qw as (select ord, pool_size, {O.bucket('term', 2048)} as idx, sum({_SIGN} * (1 + ln(tf)) * coalesce(idf, 1.0)) as w from qc left join idf using (ord, pool_size, term) group by all), "
+    "dn as (select ord, pool_size, place as pos, sqrt(sum(w * w)) as norm from dw group by all), qn as (select ord, pool_size, sqrt(sum(w * w)) as norm from qw group by all), "
+    "sc as (select ord, pool_size, place as pos, sum(dw.w * qw.w) as s from qw join dw using (ord, pool_size, idx) group by all), "
+    "sa as (select p.ord, p.pool_size, p.name, p.pos, round(coalesce(s / (dn.norm * qn.norm), 0.0), 9) + 0.0 as score from pools p left join sc using (ord, pool_size, pos) left join dn using (ord, pool_size, pos) left join qn using (ord, pool_size)), "
+    "r as (select *, row_number() over (partition by ord, pool_size order by score desc, pos) as rank from sa) select ord, pool_size, name, rank, score from r where rank <= 10"
+)
+def retrieve_pool_tfidf(spark, sf_dir, sizes=_SIZES):
+    """Tools of every pool by the TF-IDF of their documents inside the pool."""
+    docs = keyed_tools(spark, sf_dir).select("name", pipelines.tool_document(False).alias("document"))
+    rows = pipelines.pool_tfidf_ranking(read(spark, sf_dir, "cases"), case_pools(spark, sf_dir, sizes), docs, 10)
+    return rows.select("ord", "pool_size", "name", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
 for _f in (sample_pools, filter_after_ranking, filter_before_ranking, evaluate_by_pool_size, select_by_overlap):
     # The same over pools of all published sizes.
     _QUERIES[f"{_f.__name__}_scaled"] = partial(_f, sizes=_SCALED_SIZES)

@@ -80,6 +80,23 @@ def tfidf_hits(cases: DataFrame, manual: DataFrame, k: int) -> DataFrame:
     return best.join(manual.select("entry_ord", "tool_name"), "entry_ord")
 
 
+def pool_tfidf_ranking(cases: DataFrame, drawn: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(``ord``, ``pool_size``, ``rank``, ``name``, ``score``): the k best tools of every pool by hashed TF-IDF cosine of their documents.
+
+    Statistics are those of the pool; tools that share nothing with the request count with 0 and ties go
+    in pool order. ``docs`` has ``name`` and ``document``.
+    """
+    pool = ["ord", "pool_size"]
+    placed = drawn.withColumnRenamed("pos", "place").join(docs, "name")
+    idf = index.smooth_idf(placed, ["place"], F.col("document"), pool)
+    vectors = index.hashed_vectors(placed, ["place"], F.col("document"), idf, pool=pool)
+    requests = drawn.select(*pool).distinct().join(cases.select("ord", "query"), "ord")
+    asked = index.hashed_vectors(requests, [], F.col("query"), idf, pool=pool)
+    scores = _rounded(index.sparse_cosine(asked, [], vectors, ["place"], pool)).withColumnRenamed("place", "pos")
+    rows = drawn.join(scores, [*pool, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return ranking.top_k(rows, pool, ranking.by_score("pos"), k).select(*pool, "rank", "name", "score")
+
+
 def rank_tools(hits: DataFrame, group: Sequence[str], tool: str, k: int, ordinal: str) -> DataFrame:
     """(group, ``rank``, tool, ``score``, ``n_hits``): tools of each request by their score; ties by their first hit's ordinal, then name."""
     scored = ranking.tool_scores(hits, group, tool, ordinal).withColumnRenamed("tool_score", "score")

@@ -1,6 +1,9 @@
 """Queries over small tables of their own: every row takes part."""
 
-from intentlake.plans import catalogue
+from pyspark.sql import functions as F
+
+from intentlake.operators import index
+from intentlake.plans import catalogue, pipelines
 
 
 def test_every_request_is_judged_by_scores(spark, tmp_path):
@@ -32,3 +35,14 @@ def test_dense_tools_count_all_units(spark, tmp_path):
     got = catalogue.queries()["vector_unit_tools"](spark, str(tmp_path)).orderBy("rank").collect()
     assert [r.tool for r in got] == ["hot", *[f"tool {i}" for i in range(1, 10)]]
     assert abs(got[0].score - 1.25) < 1e-6
+
+
+def test_tfidf_statistics_are_of_the_pool(spark):
+    docs = spark.createDataFrame([("a", "apple pear"), ("b", "pear"), ("c", "apple")], "name string, document string")
+    drawn = spark.createDataFrame([(0, 2, "a", 1), (0, 2, "b", 2), (1, 2, "c", 1), (1, 2, "b", 2)], "ord long, pool_size int, name string, pos int")
+    cases = spark.createDataFrame([(0, "apple"), (1, "plum")], "ord long, query string")
+    idf = index.smooth_idf(drawn.join(docs, "name"), ["name"], F.col("document"), ["ord", "pool_size"])
+    got = {(r.ord, r.term): r.df for r in idf.collect()}
+    assert got == {(0, "apple"): 1, (0, "pear"): 2, (1, "apple"): 1, (1, "pear"): 1}
+    rows = pipelines.pool_tfidf_ranking(cases, drawn, docs, 10).orderBy("ord", "rank").collect()
+    assert [(r.ord, r.name, r.score > 0) for r in rows] == [(0, "a", True), (0, "b", False), (1, "c", False), (1, "b", False)]
