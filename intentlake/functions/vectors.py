@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +23,22 @@ def normalize(v: Column | str) -> Column:
     """The vector over its length; a zero vector as it is."""
     n = norm(v)
     return F.when(n == 0, as_col(v).cast("array<double>")).otherwise(F.transform(as_col(v), lambda x: x.cast("double") / n))
+
+
+def pool_tokens(tokens: np.ndarray, mask: np.ndarray, pooling: str = "last", unit: bool = True) -> np.ndarray:
+    """(texts, dimensions): one vector of each text from its token vectors, for embedding functions on Arrow batches.
+
+    ``tokens`` is (texts, places, dimensions), ``mask`` (texts, places) 1 for tokens and 0 for padding on
+    the right. ``last`` or ``eos``: the last token; ``mean``, ``avg`` or ``average``: the mean of the tokens;
+    ``cls``: the first place. ``unit`` divides by the length; a zero vector stays as it is.
+    """
+    if pooling in ("mean", "avg", "average"):
+        weight = mask[:, :, None].astype(tokens.dtype)
+        pooled = (tokens * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-9)
+    elif pooling == "cls":
+        pooled = tokens[:, 0]
+    elif pooling in ("last", "eos"):
+        pooled = tokens[np.arange(len(tokens)), mask.astype(np.int64).sum(axis=1) - 1]
+    else:
+        raise ValueError(f"pooling {pooling!r} is none of last, mean and cls")
+    return pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12) if unit else pooled
