@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "4g") -> SparkSession:
@@ -52,6 +53,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of narrow tables (ids, keys, short lists) that are sent to every executor at most.
+BROADCAST_ROWS = 1 << 19
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is. For tables that are cheap to count, as after ``cut_lineage``."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let the Python workers import this package, once for each context.
 
