@@ -107,9 +107,17 @@ ranked as (
   select *, row_number() over (partition by qid, tool_key order by score desc, entry_ord, hit_id) as hit_rank from hit)"""
 
 
+_NEAR = """unit as (
+  select unit_id, any_value(vector::double[]) as v from query_augmented_units where unit_id is not null and len(vector) = 64
+  and len(list_filter(vector, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by 1),
+cosine as (select a.unit_id as a, b.unit_id as b, list_cosine_similarity(a.v, b.v) as c from unit a join unit b on a.unit_id <> b.unit_id),
+near as (select *, row_number() over (partition by a order by c desc, b) as r from cosine)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"with {_PLAIN} select a as entry_ord_a, b as entry_ord_b from pair",
+        "p3_found": f"with {_NEAR} select distinct least(a, b) as unit_id_a, greatest(a, b) as unit_id_b from near where r <= 5",
         "p2_found": f"with {_HITS} select qid, hit_rank, hit_id from ranked where hit_rank <= 3",
         "p2_hits": f"with {_HITS} select qid, tool_key, hit_rank, hit_id, score, query from ranked where hit_rank <= 3",
     }

@@ -115,3 +115,25 @@ def test_rescaled_copies_fill_a_third(spark, monkeypatch):
     v[group] = v[group[0]] * r.uniform(0.1, 10, len(group)).astype(np.float32)[:, None]
     got, copies = run(spark, ids, v), set(group.tolist())
     assert all(len(got[i]) == 5 and copies.issuperset(got[i]) for i in copies)
+
+
+def test_exact_way(spark):
+    v = list(clustered(200, 12)) + [None]
+    assert run(spark, range(201), v, exact=True) == neighbours(np.arange(200), np.array(v[:200]), 5)
+
+
+def test_windows_and_orderings_grow():
+    assert hilbert.block_for(100) == hilbert.BLOCK and hilbert.block_for(4_000_000) == 6000
+    assert [hilbert.orderings_for(n) for n in (0, 200_000, 200_001, 800_000, 12_800_000)] == [6, 6, 7, 7, 9]
+
+
+def test_codes_keep_directions():
+    r = np.random.default_rng(13)
+    unit = r.standard_normal((50, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    import pyarrow as pa
+
+    back = hilbert.unpack(pa.array([bytes(x) for x in hilbert.pack(unit)], pa.binary()), 64)
+    assert (np.abs((back * unit).sum(axis=1) - 1) < 1e-9).all()
+    h = hilbert.fingerprints(np.concatenate([unit, unit[:3] + 1e-6]))
+    assert len(set(map(tuple, h.T.tolist()))) == 53
