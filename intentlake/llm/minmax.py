@@ -3,26 +3,40 @@
 Every permutation of the shingle universe gives two signature values, the least and the greatest
 image of the text's shingles, so a signature of length L costs L/2 hash evaluations per shingle. Both
 kinds agree for two texts with probability equal to their Jaccard similarity. Bands of ``rows``
-values are hashed together with the key; texts that share a band become candidates, and candidates
-are checked exactly.
+values are hashed together; texts that share a band become candidates, and candidates are checked
+exactly.
+
+Texts of one key meet where the key lies: the texts are shuffled once, and signatures, bands and
+checks of a key are made in one task, so that neither signatures nor candidates are shuffled. A key
+with more texts than a cell holds is split into cells; every two of its cells meet in a task. Texts of
+keys with more than ``MOST_CELLS`` cells, where that would copy a text too often, meet in a table of
+band hashes instead.
 
 With the default 64 bands of 5 values a pair is missed with probability 0.006 at similarity 0.6,
-4e-4 at 0.65 and 8e-6 at 0.7.
+4e-4 at 0.65 and 8e-6 at 0.7. Candidates whose signatures agree in a share that is ``MARGIN`` or more
+below the threshold aren't checked: at the threshold that is 5.5 standard deviations (2e-8).
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intentlake.session import cut_lineage
+from intentlake.session import broadcast_if_small, cut_lineage
 
 BANDS, ROWS = 64, 5
-#: Members of a bucket that meet in one join cell; larger buckets are split into cells of pairs.
+MARGIN = 0.15
+#: Texts, and characters of texts, of one key in one cell, about.
+CELL_TEXTS, CELL_CHARS = 4096, 1 << 23
+#: Cells of a key whose cells meet two by two.
+MOST_CELLS = 64
+#: Members of a bucket of a giant key that meet in one join cell; larger buckets are split into cells of pairs.
 CELL = 256
 #: Texts that are hashed at once: their shingles stay in the processor's cache.
 CHUNK_TEXTS = 512
@@ -92,6 +106,144 @@ def _bands(reps: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return reps.select("rep", F.xxhash64("key"), "plain").mapInArrow(run, "rep bigint, h array<bigint>")
 
 
+def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different shingles of all texts, text by text, as small numbers; their 32-bit hashes; and where each text's begin, with the end.
+
+    Shingles of up to three characters are told apart by the characters themselves, longer ones by 64-bit hashes.
+    """
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    count = lengths - width + 1
+    where = np.arange(count.sum()) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(count) - count), count)
+    code = np.zeros(len(where), np.uint64)
+    for k in range(width):
+        code = (code << np.uint64(21)) | cp[where + k] if width <= 3 else (code ^ cp[where + k]) * np.uint64(0x9E3779B97F4A7C15) ^ (code >> np.uint64(31))
+    kinds, number = np.unique(code, return_inverse=True)
+    member = np.unique(np.repeat(np.arange(len(texts)), count) * len(kinds) + number)
+    owner, number = np.divmod(member, len(kinds))
+    mixed = (kinds ^ (kinds >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return number, (mixed >> np.uint64(32)).astype(np.uint32)[number], np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def set_signatures(hashes: np.ndarray, begin: np.ndarray, values: int) -> np.ndarray:
+    """Min-max signatures of sets that lie one after the other, a cacheful of texts at a time."""
+    factor, offset = permutations(values // 2)
+    out = np.empty((values, len(begin) - 1), np.uint32)
+    for a in range(0, len(begin) - 1, CHUNK_TEXTS):
+        b = min(a + CHUNK_TEXTS, len(begin) - 1)
+        x, at = hashes[begin[a] : begin[b]], begin[a:b] - begin[a]
+        for p in range(values // 2):
+            h = (x ^ offset[p]) * factor[p]
+            np.minimum.reduceat(h, at, out=out[2 * p, a:b])
+            np.maximum.reduceat(h, at, out=out[2 * p + 1, a:b])
+    return out.T
+
+
+def banded_pairs(h: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs i < j of texts that share a band hash; where sides differ in a group, only pairs of both sides have to be found.
+
+    ``h`` is (texts, bands). A pair is marked however many bands it shares.
+    """
+    n = len(h)
+    met = np.zeros((n, n), bool)
+    for band in h.T:
+        order = np.argsort(band, kind="stable")
+        value = band[order]
+        same = np.flatnonzero(value[1:] == value[:-1])
+        step = 1
+        while len(same):
+            i, j = order[same], order[same + step]
+            met[np.minimum(i, j), np.maximum(i, j)] = True
+            step += 1
+            same = same[same + step < n]
+            same = same[value[same] == value[same + step]]
+    i, j = np.nonzero(met)
+    across = side[i] != side[j]
+    keep = across | (side[i] == 0)
+    return i[keep], j[keep]
+
+
+def similar_texts(texts: list[str], group: np.ndarray, side: np.ndarray, threshold: float, width: int, bands: int, per_band: int):
+    """(i, j, similarity), i < j: the pairs of similar different texts of a group that min-max banding finds.
+
+    Side 0 alone means that all pairs of the group are wanted; with sides 1 and 2 only pairs of both.
+    """
+    number, hashes, begin = shingle_sets(texts, width)
+    size = np.diff(begin)
+    sig = set_signatures(hashes, begin, bands * per_band + (bands * per_band) % 2)
+    i, j = banded_pairs(band_hashes(sig, group, bands, per_band), side)
+    fit = (group[i] == group[j]) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9)
+    i, j = i[fit], j[fit]
+    # One byte of each value tells almost as much as the whole and is read four times as fast.
+    byte = ((sig >> np.uint32(12)) & np.uint32(255)).astype(np.uint8)
+    least = (threshold - MARGIN) * sig.shape[1]
+    fit = np.concatenate([np.zeros(0, bool), *[(byte[i[a : a + 50_000]] == byte[j[a : a + 50_000]]).sum(axis=1) >= least for a in range(0, len(i), 50_000)]])
+    i, j = i[fit], j[fit]
+    sets = {t: set(number[begin[t] : begin[t + 1]].tolist()) for t in np.unique(np.concatenate([i, j])).tolist()}
+    both = np.fromiter((len(sets[a] & sets[b]) for a, b in zip(i.tolist(), j.tolist())), np.int64, len(i))
+    similarity = both / (size[i] + size[j] - both)
+    fit = similarity >= threshold
+    return i[fit], j[fit], similarity[fit]
+
+
+def _met(cells: DataFrame, threshold: float, width: int, bands: int, per_band: int) -> DataFrame:
+    """(``a``, ``b``, ``similarity``) of the texts that meet in cells; rows with a null similarity say that ``b`` is a copy of ``a``.
+
+    ``cells``: (``g``, ``g2``) numbers of the cell or pair of cells, ``side``, ``id``, ``plain``; a cell's rows follow each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups():
+            """Whole cells, as many at a time as make up a cell's worth of texts."""
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < CELL_TEXTS and sum(b.nbytes for b in held) < CELL_CHARS:
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks()
+                g = table["g"].to_numpy()
+                edges = np.flatnonzero(np.diff(g)) + 1
+                first = 0
+                while len(later := edges[edges > first]):
+                    # Up to the last edge within a cell's worth, or past the one cell that is larger.
+                    within = later[later - first <= CELL_TEXTS]
+                    last = int(within[-1]) if len(within) else int(later[0])
+                    if not len(later[later > last]) and len(g) - first < CELL_TEXTS:
+                        break
+                    yield table.slice(first, last - first)
+                    first = last
+                held = table.slice(first).to_batches()
+            if held:
+                yield pa.Table.from_batches(held)
+
+        for table in groups():
+            g, g2 = table["g"].to_numpy(), table["g2"].to_numpy()
+            fresh = np.append(True, (g[1:] != g[:-1]) | (g2[1:] != g2[:-1]))
+            group, ids, side = np.cumsum(fresh), table["id"].to_numpy(), table["side"].to_numpy()
+            texts = table["plain"].to_pylist()
+            rep: dict[tuple[int, str], int] = {}
+            of = [rep.setdefault(x, n) for n, x in enumerate(zip(group.tolist(), texts))]
+            least = dict.fromkeys(rep.values())
+            for n, r in enumerate(of):
+                if least[r] is None or ids[n] < least[r]:
+                    least[r] = int(ids[n])
+            kept = np.fromiter(rep.values(), np.int64, len(rep))
+            name = np.fromiter((least[r] for r in kept.tolist()), np.int64, len(kept))
+            times = Counter(of)
+            copies = {(least[r], int(ids[n])) for n, r in enumerate(of) if times[r] > 1}
+            i, j, similarity = similar_texts([texts[r] for r in kept.tolist()], group[kept], side[kept], threshold, width, bands, per_band)
+            a, b = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
+            a, b, similarity = a[a < b], b[a < b], similarity[a < b]
+            left, right = (list(x) for x in zip(*copies)) if copies else ([], [])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(a, np.array(left, np.int64))), pa.array(np.append(b, np.array(right, np.int64))), pa.concat_arrays([pa.array(similarity, pa.float64()), pa.nulls(len(left), pa.float64())])],
+                ["a", "b", "similarity"],
+            )
+
+    return cells.mapInArrow(run, "a bigint, b bigint, similarity double")
+
+
 def _exact(pairs: DataFrame, width: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shingles(t: str) -> frozenset[str]:
@@ -120,15 +272,47 @@ def text_classes(df: DataFrame, id_col: str, key: Column, text: Column, min_char
     return plain.where("id is not null and key <> ''").where(F.char_length("plain") >= min_chars)
 
 
-def similar_classes(rows: DataFrame, threshold: float, width: int = 3, bands: int = BANDS, per_band: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def key_cells(df: DataFrame, key: Column, text: Column) -> DataFrame:
+    """(``key``, ``cells``) of the keys that need several cells, a table in the checkpoint folder."""
+    sized = df.select(key.alias("key"), F.char_length(text).alias("chars")).where("key <> '' and chars > 0")
+    cells = F.greatest(F.ceil(F.count("*") / CELL_TEXTS), F.ceil(F.sum("chars") / CELL_CHARS)).cast("int")
+    return cut_lineage(sized.groupBy("key").agg(cells.alias("cells")).where("cells > 1"))
+
+
+def similar_classes(
+    rows: DataFrame, crowded: DataFrame, threshold: float, width: int = 3, bands: int = BANDS, per_band: int = ROWS
+) -> tuple[DataFrame, DataFrame]:
     """Pairs of different plain texts of one key, and the copies.
 
-    Returns ``(pairs, copies)``: ``pairs(a, b, similarity)`` between representatives (the least id of each
-    distinct key and plain text), and ``copies(rep, id)`` for every row of a class of several rows, the
-    representative included. Copies never enter a bucket, however many there are.
+    ``rows`` are those of ``text_classes``, ``crowded`` of ``key_cells``. Returns ``(pairs, copies)``:
+    ``pairs(a, b, similarity)`` between representatives (the least id of each distinct key and plain text),
+    and ``copies(rep, id)`` for every row of a class of several rows, the representative included. Copies
+    are one text in their cell, however many there are.
     """
-    classes = rows.groupBy("key", "plain").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    reps = cut_lineage(classes)
+    small = broadcast_if_small(crowded)
+    number = (F.xxhash64("key", "lo", "hi").alias("g"), F.hash("key", "lo", "hi").alias("g2"))
+    alone = rows.join(small, "key", "left_anti").withColumns({"lo": F.lit(0), "hi": F.lit(0)}).select(*number, F.lit(0).alias("side"), "id", "plain")
+    several, giant = [], []
+    if not crowded.isEmpty():
+        classes = rows.join(small, "key").groupBy("key", "plain", "cells").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+        marked = classes.where("n > 1").select(F.xxhash64("key", "plain").alias("h1"), F.hash("key", "plain").alias("h2"), "rep")
+        hashed = rows.join(small, "key").select(F.xxhash64("key", "plain").alias("h1"), F.hash("key", "plain").alias("h2"), "id")
+        several = [hashed.join(broadcast_if_small(cut_lineage(marked)), ["h1", "h2"]).select("rep", "id")]
+        own = F.pmod(F.xxhash64("plain"), F.col("cells")).cast("int")
+        each = classes.where(f"cells <= {MOST_CELLS}").select("key", "plain", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+        each = each.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") == F.col("lo"), 1).otherwise(2)
+        alone = alone.unionByName(each.select(*number, side.alias("side"), F.col("rep").alias("id"), "plain"))
+        if not crowded.where(f"cells > {MOST_CELLS}").isEmpty():
+            giant = [_giant(cut_lineage(classes.where(f"cells > {MOST_CELLS}").select("key", "plain", "rep")), threshold, width, bands, per_band)]
+    met = cut_lineage(_met(alone.repartition("g").sortWithinPartitions("g", "g2"), threshold, width, bands, per_band))
+    pairs = reduce(DataFrame.unionByName, [met.where("similarity is not null"), *giant])
+    copies = reduce(DataFrame.unionByName, [met.where("similarity is null").select(F.col("a").alias("rep"), F.col("b").alias("id")), *several])
+    return pairs, copies
+
+
+def _giant(reps: DataFrame, threshold: float, width: int, bands: int, per_band: int) -> DataFrame:
+    """The pairs of similar texts of giant keys, through a table of band hashes."""
     sig = cut_lineage(_bands(reps, width, bands, per_band))
     members = sig.select("rep", F.explode("h").alias("h"))
     crowded = members.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
@@ -142,9 +326,7 @@ def similar_classes(rows: DataFrame, threshold: float, width: int = 3, bands: in
     pairs = candidates.join(texts.select(F.col("rep").alias("b"), F.col("plain").alias("plain_b")), "b").join(
         texts.select(F.col("rep").alias("a"), F.col("plain").alias("plain_a")), "a"
     )
-    several = reps.where("n > 1").select("key", "plain", "rep")
-    copies = rows.join(several, ["key", "plain"]).select("rep", "id")
-    return _exact(pairs, width, threshold), copies
+    return _exact(pairs, width, threshold)
 
 
 def similar_pairs(
@@ -166,8 +348,9 @@ def similar_pairs(
     representative is paired with. Rows that repeat an id are one row. Texts are compared whole.
     """
     rows = text_classes(df, id_col, key, text, max(min_chars, width))
-    pairs, copies = similar_classes(rows, threshold, width, bands, per_band)
-    copies = cut_lineage(copies.distinct())
+    pairs, copies = similar_classes(rows, key_cells(df, key, text), threshold, width, bands, per_band)
+    # Broadcast where there are few, so that the copies of one text, however many, needn't lie in one task.
+    copies = broadcast_if_small(cut_lineage(copies.distinct()))
     of_a = copies.select(F.col("rep").alias("a"), F.col("id").alias("id_a"))
     of_b = copies.select(F.col("rep").alias("b"), F.col("id").alias("id_b"))
     spread = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
@@ -207,7 +390,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, key: Column, text: Column,
     ``similar_pairs``.
     """
     rows = text_classes(df, id_col, key, text, max(min_chars, width)).dropDuplicates(["id"])
-    pairs, copies = similar_classes(rows, threshold, width)
+    pairs, copies = similar_classes(rows, key_cells(df, key, text), threshold, width)
     pairs = cut_lineage(pairs)
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count("*").alias("links"))

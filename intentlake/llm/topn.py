@@ -1,67 +1,116 @@
-"""The N best items of every group by a mergeable bounded aggregation.
+"""The N best items of every group by a mergeable aggregation of bounded heaps.
 
 Each task keeps, for every group it meets, a bounded heap of the group's N best items; only the heaps
 are shuffled, so a group with a third of all rows sends N rows per task. After the shuffle the heaps
-of a group are merged. Heaps are kept as one sorted run of arrays per task and refilled a batch at a
-time: adding a batch and cutting every group back to N is one sort.
+of a group are merged into one, from which the ranks are read. Merging is associative: a task whose
+heaps hold more than ``HELD_ROWS`` rows hands them on and begins anew, so its memory is bounded however
+many groups it meets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a task takes in before it cuts its heaps back to N.
-REFILL_ROWS = 1 << 17
+#: Rows that a task takes in at once, and rows that its heaps hold at most before they are handed on.
+REFILL_ROWS, HELD_ROWS = 1 << 16, 1 << 18
+
+
+class _Later:
+    """A value whose order is turned round, for values that have no negative."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value):
+        self.value = value
+
+    def __lt__(self, other):
+        return other.value < self.value
+
+    def __eq__(self, other):
+        return self.value == other.value
+
+    def __hash__(self):
+        return hash(self.value)
+
+
+def _merit(column: pa.ChunkedArray, direction: str) -> list:
+    """For each row something that is greater the better the row stands: ascending columns turned round, nulls the least."""
+    values = column.to_pylist()
+    if pa.types.is_integer(column.type):
+        return [float("-inf") if v is None else v if direction == "descending" else -v for v in values]
+    if pa.types.is_floating(column.type):
+        # Ascending, NaN comes after all numbers, descending before them.
+        if direction == "descending":
+            return [(0,) if v is None else (2,) if v != v else (1, v) for v in values]
+        return [(0,) if v is None else (1,) if v != v else (2, -v) for v in values]
+    return [(0,) if v is None else (1, v if direction == "descending" else _Later(v)) for v in values]
+
+
+def _group_keys(rows: pa.Table, groups: Sequence[str]) -> list[tuple]:
+    """The groups' values, NaN as a text, since it isn't equal to itself."""
+    columns = [rows[g].to_pylist() for g in groups]
+    columns = [["nan" if v != v else v for v in c] if pa.types.is_floating(rows.schema.field(g).type) else c for g, c in zip(groups, columns)]
+    return list(zip(*columns)) if columns else [()] * rows.num_rows
+
+
+def bounded_heaps(rows: pa.Table, groups: Sequence[str], order: Sequence[tuple[str, str]], payload: Sequence[str], n: int) -> dict[tuple, dict]:
+    """For each group its heap's items: merit to row number. Of equal items (all of ``order`` equal) the one with the least payload stays."""
+    heaps: dict[tuple, tuple[list, dict]] = {}
+
+    def standing(at: int) -> tuple:
+        return tuple((v is None, v) for v in (rows[p][at].as_py() for p in payload))
+
+    for at, (key, *merit) in enumerate(zip(_group_keys(rows, groups), *[_merit(rows[c], d) for c, d in order])):
+        merit = tuple(merit)
+        if (found := heaps.get(key)) is None:
+            heaps[key] = ([merit], {merit: at})
+            continue
+        heap, items = found
+        if merit in items:
+            if payload and standing(at) < standing(items[merit]):
+                items[merit] = at
+        elif len(heap) < n:
+            heappush(heap, merit)
+            items[merit] = at
+        elif heap[0] < merit:
+            del items[heapreplace(heap, merit)]
+            items[merit] = at
+    return {key: items for key, (_, items) in heaps.items()}
 
 
 def keep_best(rows: pa.Table, groups: Sequence[str], order: Sequence[tuple[str, str]], payload: Sequence[str], n: int) -> pa.Table:
-    """The n best different items of each group; of equal items (all of ``order`` equal) the one with the least payload stays."""
-    if rows.num_rows == 0:
-        return rows
-    codes = np.zeros(rows.num_rows, np.int64)
-    for g in groups:
-        column = rows[g].combine_chunks().dictionary_encode(null_encoding="encode")
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        codes = codes * len(column.dictionary) + column.indices.to_numpy()
-        codes = np.unique(codes, return_inverse=True)[1]
-    keyed = rows.append_column("_group", pa.array(codes))
-    at = pc.sort_indices(keyed, sort_keys=[("_group", "ascending"), *order, *[(p, "ascending") for p in payload]], null_placement="at_end")
-    codes = codes[at.to_numpy()]
-    new_group = np.diff(codes, prepend=-1) != 0
-    new_item = new_group.copy()
-    for name, _ in order:
-        column = rows[name].combine_chunks().take(at)
-        missing = column.is_null().to_numpy(zero_copy_only=False)
-        values = column.fill_null(0).to_numpy(zero_copy_only=False)
-        new_item[1:] |= (values[1:] != values[:-1]) | (missing[1:] != missing[:-1])
-    items = np.cumsum(new_item)
-    first = np.flatnonzero(new_group)
-    place = items - np.repeat(items[first], np.diff(first, append=len(codes)))
-    return rows.take(at.filter(pa.array(new_item & (place < n))))
+    """The rows of each group's bounded heap, in no order."""
+    kept = [at for items in bounded_heaps(rows, groups, order, payload, n).values() for at in items.values()]
+    return rows.take(pa.array(kept, pa.int64()))
 
 
 def _heaps(rows: DataFrame, groups: Sequence[str], order: Sequence[tuple[str, str]], payload: Sequence[str], n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps, fresh, waiting = None, [], 0
+
+        def refilled():
+            table = pa.Table.from_batches(fresh)
+            return keep_best(pa.concat_tables([heaps, table]) if heaps else table, groups, order, payload, n).combine_chunks()
+
         for batch in batches:
             fresh.append(batch)
             waiting += batch.num_rows
-            # Refilling costs a sort of the heaps too: wait until the fresh rows are as many.
+            # Refilling goes over the heaps too: wait until the fresh rows are as many.
             if waiting >= max(REFILL_ROWS, heaps.num_rows if heaps else 0):
-                table = pa.Table.from_batches(fresh)
-                heaps = keep_best(pa.concat_tables([heaps, table]) if heaps else table, groups, order, payload, n)
-                fresh, waiting = [], 0
+                heaps, fresh, waiting = refilled(), [], 0
+                if heaps.num_rows > HELD_ROWS:
+                    yield from heaps.to_batches(1 << 16)
+                    heaps = None
         if fresh:
-            table = pa.Table.from_batches(fresh)
-            heaps = keep_best(pa.concat_tables([heaps, table]) if heaps else table, groups, order, payload, n)
+            heaps = refilled()
         if heaps is not None:
-            yield from heaps.combine_chunks().to_batches(1 << 16)
+            yield from heaps.to_batches(1 << 16)
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -80,7 +129,7 @@ def top_n(
     Items are compared by ``score`` descending, then by the ``tie`` columns ascending (nulls last); the
     last of them must be the item's unique identifier. Rows that agree in score and all tie columns are
     one item, so repeated deliveries count once, with the payload of one of them (the least, by its own
-    columns). Rows with a null or NaN score or a null identifier have no place and are left out; a null
+    columns, nulls last). Group and tie columns may have any type that can be compared; groups are atomic values. Rows with a null or NaN score or a null identifier have no place and are left out; a null
     in a group column is a group of its own. Other columns are not read.
     """
     names = list(tie)
@@ -90,14 +139,49 @@ def top_n(
     # -0.0 and 0.0 are one score.
     rows = rows.withColumn("score", F.col("score") + F.lit(0.0))
     order = [("score", "descending"), *[(t, "ascending") for t in names]]
-    return merge_heaps(_heaps(rows, list(groups), order, list(payload), n), list(groups), names, n, payload, rank_col)
+    return merge_heaps(_heaps(rows, list(groups), order, list(payload), n), list(groups), order, n, payload, rank_col)
+
+
+def merge_heaps(
+    heaps: DataFrame, groups: Sequence[str], order: Sequence[tuple[str, str]], n: int, payload: Sequence[str], rank_col: str
+) -> DataFrame:
+    """Merge partial heaps of the same groups; associative, so heaps of several inputs may be united first.
+
+    A group's heaps lie together, sorted by group, so that one group's heap at a time has to be held.
+    """
+    placed = heaps.repartition(*groups).sortWithinPartitions(*groups)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ranked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            at, rank = [], []
+            for items in bounded_heaps(table, groups, order, payload, n).values():
+                at += [items[m] for m in sorted(items, reverse=True)]
+                rank += range(1, len(items) + 1)
+            out = table.take(pa.array(at, pa.int64())).append_column("rank", pa.array(rank, pa.int32()))
+            yield from out.combine_chunks().to_batches()
+
+        held: list[pa.RecordBatch] = []
+        waiting = 0
+        for batch in batches:
+            held.append(batch)
+            waiting += batch.num_rows
+            if waiting < REFILL_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            keys = _group_keys(table, groups)
+            last = len(keys) - 1
+            while last and keys[last - 1] == keys[-1]:
+                last -= 1
+            if last:
+                yield from ranked(table.slice(0, last))
+            # The group that may go on, cut back to its heap.
+            held = keep_best(table.slice(last), groups, order, payload, n).to_batches()
+            waiting = sum(b.num_rows for b in held)
+        if held:
+            yield from ranked(pa.Table.from_batches(held))
 
-def merge_heaps(heaps: DataFrame, groups: Sequence[str], tie: Sequence[str], n: int, payload: Sequence[str], rank_col: str) -> DataFrame:
-    """Merge partial heaps of the same groups; associative, so heaps of several inputs may be united first."""
-    # Placed by group once: finding equal items and ranking both keep that placement.
-    placed = heaps.repartition(*groups)
-    one = placed.groupBy(*groups, "score", *tie).agg(*([F.min(F.struct(*payload)).alias("_p")] if payload else [F.lit(1).alias("_p")]))
-    place = Window.partitionBy(*groups).orderBy(F.col("score").desc(), *[F.col(t).asc_nulls_last() for t in tie])
-    ranked = one.withColumn(rank_col, F.row_number().over(place)).where(F.col(rank_col) <= n)
-    return ranked.select(*groups, rank_col, "score", *tie, *[F.col(f"_p.{p}").alias(p) for p in payload])
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(heaps.schema.fields)) + ", r int"
+    out = placed.mapInArrow(lambda batches: (b.rename_columns([*[f"c{i}" for i in range(b.num_columns - 1)], "r"]) for b in run(batches)), schema)
+    named = dict(zip(heaps.columns, out.columns))
+    ends = [c for c, _ in order]
+    return out.select(*[F.col(named[g]).alias(g) for g in groups], F.col("r").alias(rank_col), *[F.col(named[c]).alias(c) for c in (*ends, *payload)])

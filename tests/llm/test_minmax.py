@@ -103,3 +103,50 @@ def test_agreement_estimates_similarity():
     assert abs(agree.mean() - truth) < 0.05
     assert abs(agree[0::2].mean() - agree[1::2].mean()) < 0.1
     assert np.array_equal(sig, minmax.signatures([a, b], 3, 2048))
+
+
+def found(spark, rows):
+    got = minmax.similar_pairs(frame(spark, rows), "entry_ord", tool_key("tool_name"), F.col("query")).collect()
+    pairs = [(r.a, r.b) for r in got]
+    assert len(pairs) == len(set(pairs))
+    return set(pairs)
+
+
+def test_crowded_key_is_split_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(minmax, "CELL_TEXTS", 7)
+    rows = fixture()
+    assert found(spark, rows) == brute(rows)
+
+
+def test_long_texts_split_a_key_too(spark, monkeypatch):
+    monkeypatch.setattr(minmax, "CELL_CHARS", 900)
+    rows = fixture()
+    assert found(spark, rows) == brute(rows)
+
+
+def test_giant_key_goes_through_the_table_of_bands(spark, monkeypatch):
+    monkeypatch.setattr(minmax, "CELL_TEXTS", 5)
+    monkeypatch.setattr(minmax, "MOST_CELLS", 3)
+    monkeypatch.setattr(minmax, "CELL", 3)
+    rows = fixture()
+    assert found(spark, rows) == brute(rows)
+
+
+def test_groups_of_crowded_keys(spark, monkeypatch):
+    rows = [r for r in fixture() if r[0] is not None]
+    whole = {tuple(r) for r in minmax.near_duplicate_groups(frame(spark, rows), "entry_ord", tool_key("tool_name"), F.col("query")).collect()}
+    monkeypatch.setattr(minmax, "CELL_TEXTS", 6)
+    assert {tuple(r) for r in minmax.near_duplicate_groups(frame(spark, rows), "entry_ord", tool_key("tool_name"), F.col("query")).collect()} == whole
+
+
+def test_banded_pairs_of_both_sides_only():
+    h = np.array([[1, 9], [1, 8], [1, 8], [4, 9]])
+    assert set(zip(*minmax.banded_pairs(h, np.zeros(4, int)))) == {(0, 1), (0, 2), (1, 2), (0, 3)}
+    assert set(zip(*minmax.banded_pairs(h, np.array([1, 1, 2, 2])))) == {(0, 2), (1, 2), (0, 3)}
+
+
+def test_wider_shingles():
+    texts = ["one text of some length and words", "one text of some length and wordy", "something else altogether here"]
+    i, j, s = minmax.similar_texts(texts, np.zeros(3, int), np.zeros(3, int), 0.6, 5, 64, 5)
+    grams = [{t[a : a + 5] for a in range(len(t) - 4)} for t in texts]
+    assert (i.tolist(), j.tolist()) == ([0], [1]) and abs(s[0] - len(grams[0] & grams[1]) / len(grams[0] | grams[1])) < 1e-12
