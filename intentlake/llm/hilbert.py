@@ -29,17 +29,17 @@ from pyspark.sql import functions as F
 from intentlake.operators import ranking
 from intentlake.session import broadcast_if_small, cut_lineage
 
-ORDERINGS = 6
+ORDERINGS = 5
 #: Bits of a projection in one part of the key, and the parts: the first part is the cell, the others refine it.
 PROJECTED, BITS, PARTS = 12, 5, 3
 #: Rows of a block at least; a vector meets at least so many neighbours on either side in each ordering.
-BLOCK = 1024
+BLOCK = 2048
 #: Vectors beyond which orderings are added, one for every fourfold.
 ONE_MORE = 200_000
 #: Rows of a range partition that are aimed at, at least.
 PARTITION_ROWS = 1 << 15
-#: Rows whose keys set the bounds of the range partitions, about.
-SAMPLE = 20_000
+#: Rows for each range partition whose keys set the partitions' bounds, about.
+SAMPLE = 128
 #: Rows that are compared with a window at once.
 SLICE = 512
 SEED = 77
@@ -294,7 +294,7 @@ def _key_bounds(source: DataFrame, dim: int, total: int, orderings: int, project
                 for o, key in enumerate(ordering_keys(unit, batch.column(0).to_numpy()[row], orderings, projected)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), o)), pa.array(key.view(f"V{key.itemsize}").tolist(), pa.binary())], ["o", "key"])
 
-    some = source.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(max(1, total // SAMPLE))) == 0)
+    some = source.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(max(1, total // (SAMPLE * parts)))) == 0)
     rows = some.mapInArrow(run, "o bigint, key binary").collect()
     bounds = []
     for o in range(orderings):
