@@ -1,4 +1,4 @@
-"""Text expressions on columns, evaluated in the JVM.
+"""Text expressions on columns, evaluated in the JVM but for the tokenizer, which works on Arrow batches.
 
 Every function takes a column or a column's name and gives null for null unless its docstring says
 otherwise.
@@ -11,10 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from intentlake.functions.lexicon import ACTIONS, CJK_PHRASES, CJK_SYNONYMS, CONJUNCTIONS, STOPWORDS, SYNONYMS
-
-CJK = "一-鿿"
-
+from intentlake.functions.lexicon import ACTIONS, CONJUNCTIONS
+from intentlake.functions.tokens import counts_of, tokens_of
 
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -24,11 +22,6 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def _lookup(table: dict[str, list[str]], key: Column) -> Column:
-    pairs = [x for k, v in table.items() for x in (F.lit(k), strings(v))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), strings([]))
-
-
 def normalize_text(c: Column | str) -> Column:
     """``_`` and ``-`` become blanks, ``fooBar`` becomes ``foo bar``, everything is lower case. Null stays null."""
     spaced = F.translate(as_col(c), "_-", "  ")
@@ -40,18 +33,6 @@ def tool_key(c: Column | str) -> Column:
     return F.trim(normalize_text(c))
 
 
-def ngrams(c: Column, n: int) -> Column:
-    """All substrings of n characters, in order; none for shorter texts."""
-    length = F.char_length(c)
-    return F.when(length >= n, F.transform(F.sequence(F.lit(1), length - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(strings([]))
-
-
-def _cjk_tokens(run: Column) -> Column:
-    found = F.filter(strings(CJK_PHRASES), lambda p: F.contains(run, p))
-    phrases = F.flatten(F.transform(found, lambda p: F.concat(F.array(p), _lookup(CJK_SYNONYMS, p))))
-    return F.concat(phrases, ngrams(run, 2), ngrams(run, 3), ngrams(run, 4))
-
-
 def tokenize(c: Column | str) -> Column:
     """The tokens of a text as an array, in order and with repetitions.
 
@@ -59,16 +40,15 @@ def tokenize(c: Column | str) -> Column:
     CJK run the known phrases with their synonyms, then all 2-, 3- and 4-grams. Null for null, an empty
     array for a text without tokens.
     """
-    runs = F.regexp_extract_all(normalize_text(c), F.lit(f"[A-Za-z0-9_]+|[{CJK}]+"), F.lit(0))
+    return tokens_of(normalize_text(c))
 
-    def of(run: Column) -> Column:
-        return (
-            F.when(F.rlike(run, F.lit(f"^[{CJK}]")), _cjk_tokens(run))
-            .when((F.char_length(run) <= 1) | F.array_contains(strings(STOPWORDS), run), strings([]))
-            .otherwise(F.concat(F.array(run), _lookup(SYNONYMS, run)))
-        )
 
-    return F.flatten(F.transform(runs, of))
+def count_tokens(c: Column | str) -> Column:
+    """``STRUCT<dl, terms: ARRAY<STRUCT<term, tf, first_pos>>>``: the number of tokens, and each different token with its number and first place.
+
+    0 and none for null and for a text without tokens.
+    """
+    return counts_of(normalize_text(c))
 
 
 def term_overlap(left_tokens: Column, right_tokens: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intentlake.functions.text import hash_bucket, tokenize
+from intentlake.functions.text import count_tokens, hash_bucket
 
 K1, B = 1.5, 0.75
 DIMENSIONS = 2048
@@ -22,10 +22,11 @@ DIMENSIONS = 2048
 def term_counts(docs: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
     """(keys, ``term``, ``tf``, ``first_pos``, ``dl``): tokens of every document with their number and first place, and the document's length.
 
-    Documents without tokens have no rows. Tokens are counted where they are exploded.
+    Documents without tokens have no rows. Tokens are counted inside each text, so what is shuffled is a
+    row for each different token of a text; texts of equal keys are one document.
     """
-    tokens = docs.select(*keys, tokenize(text).alias("_t")).select(*keys, F.size("_t").alias("dl"), F.posexplode("_t").alias("pos", "term"))
-    return tokens.groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"), F.max("dl").alias("dl"))
+    counted = docs.select(*keys, count_tokens(text).alias("_t")).select(*keys, F.col("_t.dl").alias("dl"), F.inline("_t.terms"))
+    return counted.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"), F.max("dl").alias("dl"))
 
 
 def document_frequency(counts: DataFrame, pool: Sequence[str] = ()) -> DataFrame:
@@ -35,8 +36,7 @@ def document_frequency(counts: DataFrame, pool: Sequence[str] = ()) -> DataFrame
 
 def corpus_stats(docs: DataFrame, text: Column, pool: Sequence[str] = ()) -> DataFrame:
     """(pool, ``n_docs``, ``avgdl``): number of documents and their mean number of tokens, empty ones included."""
-    length = F.coalesce(F.size(tokenize(text)), F.lit(0))
-    sized = docs.select(*pool, F.when(length < 0, 0).otherwise(length).alias("dl"))
+    sized = docs.select(*pool, count_tokens(text).alias("_t")).select(*pool, F.col("_t.dl").alias("dl"))
     return sized.groupBy(*pool).agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
