@@ -150,3 +150,10 @@ def test_wider_shingles():
     i, j, s = minmax.similar_texts(texts, np.zeros(3, int), np.zeros(3, int), 0.6, 5, 64, 5)
     grams = [{t[a : a + 5] for a in range(len(t) - 4)} for t in texts]
     assert (i.tolist(), j.tolist()) == ([0], [1]) and abs(s[0] - len(grams[0] & grams[1]) / len(grams[0] | grams[1])) < 1e-12
+
+
+def test_agreements():
+    r = np.random.default_rng(3)
+    sig = r.integers(0, 3, (40, 323)).astype(np.uint32) << np.uint32(12)
+    i, j = r.integers(0, 40, 5000), r.integers(0, 40, 5000)
+    assert np.array_equal(minmax.agreements(sig, i, j), (sig[i] == sig[j]).sum(axis=1))
