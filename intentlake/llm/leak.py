@@ -6,7 +6,11 @@ and each passage is a query. A passage of ``2 * span`` words every ``span`` word
 passages contains all words of the run and scores at least the run's own BM25 sum against that item. A word that occurs in no item scores nothing and can be in no shared run,
 so it ends a passage.
 An item's threshold is the least such sum over its runs, hence retrieval above the threshold loses no
-case. Retrieved pairs are verified by comparing runs of words.
+case. Retrieved pairs are verified by comparing runs of words, and it is noted whether the item's answer
+occurs in the text too.
+
+The index is built on the executors, in shards of a bounded size in bytes, by a hash of the item. Every
+corpus text is read once and searched for the items of all shards, one shard's index at a time in memory.
 
 Posting impacts are divided by the item's threshold, so that one threshold of 1 holds for all items
 and block maxima stay comparable. Passages whose summed best impacts cannot reach 1 have no WAND
@@ -16,23 +20,26 @@ pivot; they are passed over for a whole batch at once.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentlake.llm.bpe import LETTER, NUMBER, char_classes, chunks, code_points
+from intentlake.session import cut_lineage
 
 SPAN = 12
 K1, B = 1.5, 0.75
 BLOCK_POSTINGS = 32
-#: Test items in one index. A larger collection is worked off in several passes over the corpus.
-ITEMS_PER_PASS = 20_000
+#: Bytes of test items in one shard of the index, about.
+SHARD_BYTES = 8 << 20
 EPSILON = 1e-9
 CJK_FIRST, CJK_LAST = 0x4E00, 0x9FFF
 
@@ -82,17 +89,18 @@ def words(text: str | None) -> list[str]:
 class ItemIndex:
     """An impact-ordered-by-item inverted index of test items with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str | None]], span: int = SPAN, n_items: int | None = None, df: Counter | None = None, mean: float | None = None):
+    def __init__(self, items: list[tuple], span: int = SPAN):
+        """``items``: id, text and, if there is one, answer."""
         self.span = span
-        kept = [(k, w) for k, t in items if len(w := words(t)) >= span]
-        self.ids = [k for k, _ in kept]
+        kept = [(k, w, a) for k, t, *a in items if len(w := words(t)) >= span]
+        self.ids = [k for k, _, _ in kept]
+        self.answers = [" ".join(words(a[0])) if a else "" for _, _, a in kept]
         self.term: dict[str, int] = {}
-        texts = [[self.term.setdefault(x, len(self.term)) for x in w] for _, w in kept]
+        texts = [[self.term.setdefault(x, len(self.term)) for x in w] for _, w, _ in kept]
         found = Counter(x for t in texts for x in set(t))
-        n = len(texts) if n_items is None else n_items
-        names = {i: x for x, i in self.term.items()}
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t in found for d in [found[t] if df is None else df[names[t]]]}
-        mean = (sum(map(len, texts)) / max(1, len(texts))) if mean is None else mean
+        n = len(texts)
+        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in found.items()}
+        mean = sum(map(len, texts)) / max(1, len(texts))
         self.runs: list[set[tuple[int, ...]]] = []
         postings: dict[int, list[tuple[int, float]]] = {}
         for i, t in enumerate(texts):
@@ -166,8 +174,8 @@ class ItemIndex:
         cursor[1] = at
         cursor[0] = ids[at] if at < n else len(self.ids)
 
-    def leaks(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(text number, item number) of all verified pairs."""
+    def leaks(self, texts: list[str]) -> list[tuple[int, int, bool | None]]:
+        """(text number, item number, whether the text holds the item's answer) of all verified pairs; null without an answer."""
         if not self.ids:
             return []
         span = self.span
@@ -197,55 +205,74 @@ class ItemIndex:
             if hits := self.search(set(passage)):
                 runs = {tuple(passage[j : j + span]) for j in range(len(passage) - span + 1)}
                 pairs.update((int(owner[p]), i) for i in hits if not runs.isdisjoint(self.runs[i]))
-        return sorted(pairs)
+        spoken: dict[int, str] = {}
+        out = []
+        for t, i in sorted(pairs):
+            if self.answers[i] and t not in spoken:
+                own = slice(*np.searchsorted(owner_of, [t, t + 1]).tolist())
+                spoken[t] = " ".join(["", *[joined[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())], ""])
+            out.append((t, i, f" {self.answers[i]} " in spoken[t] if self.answers[i] else None))
+        return out
+
+
+def index_shards(items: DataFrame, item_id: str, item_text: str, item_answer: str | None, span: int) -> list:
+    """The index of the test items as broadcasts of bounded size, built on the executors; one shard at a time passes the driver."""
+    answer = F.col(item_answer).cast("string") if item_answer else F.lit(None).cast("string")
+    wanted = items.select(F.col(item_id).cast("bigint").alias("k"), F.col(item_text).cast("string").alias("t"), answer.alias("a")).where("k is not null and t is not null")
+    shards = max(1, math.ceil((wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / SHARD_BYTES))
+
+    def build(rows):
+        index = ItemIndex(list(zip(rows["k"].tolist(), rows["t"].tolist(), rows["a"].tolist())), span)
+        return pd.DataFrame({"blob": [pickle.dumps(index)]})
+
+    placed = wanted.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)))
+    built = cut_lineage(placed.groupBy("shard").applyInPandas(build, "blob binary"))
+    return [items.sparkSession.sparkContext.broadcast(bytes(r.blob)) for r in built.toLocalIterator(prefetchPartitions=False)]
 
 
 def leaked_items(
-    df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "ord", item_text: str = "query", span: int = SPAN
+    df: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "ord",
+    item_text: str = "query",
+    item_answer: str | None = None,
+    span: int = SPAN,
 ) -> DataFrame:
-    """(``id_col``, ``case_ord``): every text in which ``span`` consecutive words of a test item occur consecutively.
+    """(``id_col``, ``case_ord``, ``answer_found``): every text in which ``span`` consecutive words of a test item occur consecutively.
 
     Words are taken from the lower-case text: each character U+4E00 to U+9FFF and each longest run of
     other letters and numbers. Items under ``span`` words, null items and null ids leak nothing; null,
     empty and short texts contain nothing. Each pair is listed once, also if ids repeat. Items with
     equal wording are all listed. Texts are read whole; other columns aren't read.
 
-    The items, a fixed test set, come to the driver and their index is sent to the workers,
-    ``ITEMS_PER_PASS`` items at a time: more items mean more passes, not a larger index. Corpus texts
-    never leave their tasks.
+    ``answer_found`` says whether the words of ``item_answer`` occur consecutively in the text as well (in
+    any of the texts of one id); null where no answer column is given or the answer has no words.
     """
-    spark = df.sparkSession
     source = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_id is not null and _text is not null")
-    wanted = items.select(F.col(item_id).cast("bigint").alias("k"), F.col(item_text).cast("string").alias("t")).where("k is not null and t is not null")
-    found = None
-    rows: list[tuple[int, str]] = []
-    passes: list[list[tuple[int, str]]] = []
-    for r in wanted.orderBy("k").toLocalIterator(prefetchPartitions=False):
-        rows.append((r.k, r.t))
-        if len(rows) == ITEMS_PER_PASS:
-            passes.append(rows)
-            rows = []
-    if rows or not passes:
-        passes.append(rows)
-    for part in passes:
-        shared = spark.sparkContext.broadcast(ItemIndex(part, span))
-        one = source.mapInArrow(_finder(shared), "_id bigint, case_ord bigint")
-        found = one if found is None else found.unionByName(one)
-    return found.distinct().select(F.col("_id").alias(id_col), "case_ord")
-
-
-def _finder(shared):
+    shards = index_shards(items, item_id, item_text, item_answer, span)
+    found = source.mapInArrow(_finder(shards), "_id bigint, case_ord bigint, answer_found boolean")
+    return found.groupBy("_id", "case_ord").agg(F.max("answer_found").alias("answer_found")).select(F.col("_id").alias(id_col), "case_ord", "answer_found")
+
+
+def _finder(shards):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = None
         for batch in batches:
             ids = batch.column(0).to_numpy()
             sizes = np.asarray(pa.compute.binary_length(batch.column(1)))
-            for a, b in chunks(sizes):
-                pairs = index.leaks(batch.column(1).slice(a, b - a).to_pylist())
-                if pairs:
-                    t, i = map(list, zip(*pairs))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a:b][t]), pa.array([index.ids[x] for x in i], pa.int64())], ["_id", "case_ord"]
-                    )
+            for shard in shards:
+                if index is None or len(shards) > 1:
+                    index = pickle.loads(shard.value)
+                    # The broadcast stays on the worker's disk; its copy in memory isn't needed.
+                    shard.__dict__.pop("_value", None)
+                for a, b in chunks(sizes):
+                    pairs = index.leaks(batch.column(1).slice(a, b - a).to_pylist())
+                    if pairs:
+                        t, i, answer = map(list, zip(*pairs))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[a:b][t]), pa.array([index.ids[x] for x in i], pa.int64()), pa.array(answer, pa.bool_())], ["_id", "case_ord", "answer_found"]
+                        )
 
     return run

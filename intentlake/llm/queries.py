@@ -66,7 +66,12 @@ def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation requests they leak."""
-    return leak.leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "cases"))
+    return p6_leaks(spark, sf_dir).drop("answer_found")
+
+
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, the evaluation requests they leak, and whether the request's tool is named there too."""
+    return leak.leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "cases"), item_answer="ground_truth_tool")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +86,7 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_hits, p3_found, p3_neighbours, p5_ids, p6_found, p7_found, p7_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_hits, p3_found, p3_neighbours, p5_ids, p6_found, p6_leaks, p7_found, p7_pieces)}
 
 
 TOOL_KEY = r"trim(lower(regexp_replace(translate(tool_name, '_-', '  '), '([a-z0-9])([A-Z])', '\1 \2', 'g')))"
@@ -100,6 +105,16 @@ pair as (
   select p.a, p.b from both_have p join size x on x.entry_ord = p.a join size y on y.entry_ord = p.b
   where p.n::double / (x.n + y.n - p.n) >= 0.6)"""
 
+_GROUPS = f"""{_PLAIN},
+class as (select tool_key, plain, min(entry_ord) as rep from part group by all),
+member as (select p.entry_ord, c.rep from part p join class c using (tool_key, plain)),
+edge as (
+  select distinct x.rep as u, y.rep as v from (select a, b from pair union all select b, a from pair) p
+  join member x on x.entry_ord = p.a join member y on y.entry_ord = p.b where x.rep <> y.rep),
+reach as (select rep as id, rep as g from class union select e.v, r.g from reach r join edge e on e.u = r.id),
+named as (select id, min(g) as group_id from reach group by 1),
+degree as (select u, count(*) as links from edge group by 1)"""
+
 _HITS = f"""hit as (
   select distinct hit_id, qid, entry_ord, {TOOL_KEY} as tool_key, score, query from hits
   where tool_name is not null and isfinite(score) and score > 0),
@@ -114,9 +129,24 @@ cosine as (select a.unit_id as a, b.unit_id as b, list_cosine_similarity(a.v, b.
 near as (select *, row_number() over (partition by a order by c desc, b) as r from cosine)"""
 
 
+def _words(c: str) -> str:
+    return rf"regexp_extract_all(regexp_replace(lower({c}), '([\x{{4E00}}-\x{{9FFF}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+
+
+_LEAKS = f"""doc as (select doc_id, {_words("text")} as w from documents where doc_id is not null and text is not null),
+item as (select ord, {_words("query")} as w, {_words("coalesce(ground_truth_tool, '')")} as answer from cases where ord is not null and query is not null),
+doc_run as (select distinct doc_id, array_to_string(w[i : i + 11], ' ') as run from (select *, unnest(range(1, len(w) - 10)) as i from doc)),
+item_run as (select distinct ord, array_to_string(w[i : i + 11], ' ') as run from (select *, unnest(range(1, len(w) - 10)) as i from item)),
+leak as (select distinct doc_id, ord from doc_run join item_run using (run))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"with {_PLAIN} select a as entry_ord_a, b as entry_ord_b from pair",
+        "p6_found": f"with {_LEAKS} select doc_id, ord as case_ord from leak",
+        "p6_leaks": f"with {_LEAKS} select doc_id, ord as case_ord, bool_or(case when len(answer) > 0 then contains(' ' || array_to_string(doc.w, ' ') || ' ', ' ' || array_to_string(answer, ' ') || ' ') end) "
+        "as answer_found from leak join doc using (doc_id) join item using (ord) group by 1, 2",
+        "p1_groups": f"with recursive {_GROUPS} select entry_ord, group_id, coalesce(links, 0) as links from member join named on id = rep left join degree on u = rep",
         "p3_found": f"with {_NEAR} select distinct least(a, b) as unit_id_a, greatest(a, b) as unit_id_b from near where r <= 5",
         "p2_found": f"with {_HITS} select qid, hit_rank, hit_id from ranked where hit_rank <= 3",
         "p2_hits": f"with {_HITS} select qid, tool_key, hit_rank, hit_id, score, query from ranked where hit_rank <= 3",

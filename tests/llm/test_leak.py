@@ -40,7 +40,7 @@ def test_equals_brute_force():
         docs, items = fixture(seed)
         index = leak.ItemIndex([(k, q) for k, q in items if q is not None])
         texts = [t or "" for _, t in docs]
-        got = {(docs[d][0], index.ids[i]) for d, i in index.leaks(texts)}
+        got = {(docs[d][0], index.ids[i]) for d, i, _ in index.leaks(texts)}
         assert got == brute(docs, items)
 
 
@@ -59,7 +59,7 @@ def test_wand_equals_full_scoring(monkeypatch):
 
 
 def test_frame(spark, monkeypatch):
-    monkeypatch.setattr(leak, "ITEMS_PER_PASS", 30)
+    monkeypatch.setattr(leak, "SHARD_BYTES", 2000)
     docs, items = fixture(3)
     df = spark.createDataFrame([(d, t, 5) for d, t in docs + docs[:20]], "doc_id long, text string, case_ord int")
     cases = spark.createDataFrame(items, "ord long, query string")
@@ -67,3 +67,13 @@ def test_frame(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(docs, items)
     assert leak.leaked_items(df.limit(0), cases).collect() == []
     assert leak.leaked_items(df, cases.limit(0)).collect() == []
+
+
+def test_answers(spark):
+    question = "one two three four five six seven eight nine ten eleven twelve"
+    items = [(1, question, "open_door"), (2, question, None), (3, question, " _ "), (4, question, "closeDoor")]
+    docs = [(1, f"{question}. Use open-door!"), (2, f"{question} open the door"), (2, "open door"), (3, "open door")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cases = spark.createDataFrame(items, "ord long, query string, tool string")
+    got = {(r.doc_id, r.case_ord): r.answer_found for r in leak.leaked_items(df, cases, item_answer="tool").collect()}
+    assert got == {(1, 1): True, (1, 2): None, (1, 3): None, (1, 4): False, (2, 1): False, (2, 2): None, (2, 3): None, (2, 4): False}
