@@ -25,7 +25,7 @@ def term_counts(docs: DataFrame, keys: Sequence[str], text: Column) -> DataFrame
     Documents without tokens have no rows. Tokens are counted inside each text, so what is shuffled is a
     row for each different token of a text; texts of equal keys are one document.
     """
-    counted = docs.select(*keys, count_tokens(text).alias("_t")).select(*keys, F.col("_t.dl").alias("dl"), F.inline("_t.terms"))
+    counted = docs.select(*keys, count_tokens(text).alias("_t")).select(*keys, F.col("_t.dl").alias("dl"), F.inline_outer("_t.terms")).where("term is not null")
     return counted.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"), F.max("dl").alias("dl"))
 
 
