@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,13 +54,38 @@ CASES_N = f"cases_n as (select ord, query, {O.key('ground_truth_tool')} as groun
 # ---- the nested records of the catalogue
 
 
-@query()
+@query(f"with recursive {O.nodes_cte('tools', 'ord', 'parameters')} select ord, path as param_path, parent_path from nodes where is_record")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per tool parameter at any depth."""
     return nested.parameters(read(spark, sf_dir, "tools"))
 
 
-@query()
+@query(
+    f"with recursive {O.nodes_cte('tools', 'ord', 'parameters')} select ord, level, node_key, parent_key, ordinal, name, "
+    "case when kind = 'list' and json_type(record, '/type') = 'VARCHAR' or kind = 'schema' and json_type(record, '/type') = 'VARCHAR' then record ->> '/type' end as type, "
+    "case when json_type(record, '/description') = 'VARCHAR' then record ->> '/description' end as description from nodes"
+)
+def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The child tables of all levels with two of their attributes, where these are texts."""
+    _, tables = nested.child_tables(read(spark, sf_dir, "tools"), ["ord"], "parameters")
+    columns = ("ord", "level", "node_key", "parent_key", "ordinal", "name")
+    rows = [
+        t.select(*columns, *[_text_attribute(t, n).alias(n) for n in ("type", "description")])
+        for t in tables.values()
+    ] or [read(spark, sf_dir, "tools").limit(0).select("ord", *[F.lit(None).cast(c).alias(n) for n, c in zip((*columns[1:], "type", "description"), ("int", "string", "string", "int", "string", "string", "string"))])]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _text_attribute(table: DataFrame, name: str):
+    known = table.schema["attributes"].dataType.fieldNames()
+    # An array or object in a column of several kinds is JSON text.
+    value = F.col(f"attributes.{name}").cast("string") if name in known else F.lit(None).cast("string")
+    return F.when(~F.coalesce(F.try_parse_json(value).isNotNull() & F.rlike(value, F.lit(r"^[\[{]")), F.lit(False)), value)
+
+
+@query(
+    f"with recursive {O.nodes_cte('tools', 'ord', 'parameters')} select ord, node_key, parent_key, record_parent_key, ordinal, level, is_record, name, path, parent_path from nodes"
+)
 def p4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes of the parameter trees with surrogate keys, ordinals and levels."""
     return nested.flatten_records(read(spark, sf_dir, "tools"), ["ord"], "parameters")

@@ -127,3 +127,35 @@ def metrics_sql(ranked: str, gold: str) -> dict[str, str]:
     out |= {f"recall_{k}": f"len(list_intersect({first(k)}, {gold})) / len({gold})::double" for k in (10, 20, 50)}
     out |= {f"full_coverage_{k}": f"case when list_has_all({first(k)}, {gold}) then 1.0 else 0.0 end" for k in (3, 5, 10)}
     return {n: f"({e})::double" for n, e in out.items()}
+
+
+def nodes_cte(table: str, key: str, text: str) -> str:
+    """CTEs that end in ``nodes``: every node of the nested records, the children of a node worked out level by level."""
+    ptr = lambda k: f"replace(replace({k}, '~', '~0'), '/', '~1')"
+    child = lambda i, n, r, v, k: f"{{'i': {i}, 'n': {n}, 'r': {r}, 'v': {v}, 's': {v}, 'k': '{k}'}}"
+    record = "{'i': 0, 'n': v ->> '/name', 'r': true, 'v': v, 's': json_extract(v, '/fields'), 'k': 'list'}"
+    kind = "struct(i bigint, n varchar, r boolean, v json, s json, k varchar)[]"
+
+    def children(v: str, k: str) -> str:
+        names = f"case when json_type({v}, '/properties') = 'OBJECT' then json_keys({v}, '/properties') else []::varchar[] end"
+        props = f"list_transform({names}, lambda n, i: {child('i::bigint - 1', 'n', 'true', f'json_extract({v}, {chr(39)}/properties/{chr(39)} || {ptr(chr(110))})', 'schema')})"
+        items = f"case when json_type({v}, '/items') = 'OBJECT' then [{child('0::bigint', chr(39) + '*' + chr(39), 'false', f'json_extract({v}, {chr(39)}/items{chr(39)})', 'schema')}] else [] end"
+        alternatives = [
+            f"case when json_type({v}, '/{w}') = 'ARRAY' then list_transform(range(json_array_length({v}, '/{w}')::bigint), lambda j: {child('j', chr(39) + '|' + chr(39) + ' || j', 'false', f'json_extract({v}, {chr(39)}/{w}/{chr(39)} || j)', 'schema')}) else [] end"
+            for w in ("oneOf", "anyOf")
+        ]
+        schema = " || ".join(f"({x})::{kind}" for x in (props, items, *alternatives))
+        elements = f"list_filter(case when json_type({v}) = 'ARRAY' then json_extract({v}, '$[*]') else []::json[] end, lambda v: json_type(v) = 'OBJECT' and json_type(v, '/name') = 'VARCHAR')"
+        return f"case when {k} = 'list' then (list_transform({elements}, lambda v: {record}))::{kind} when json_type({v}) = 'OBJECT' then {schema} else []::{kind} end"
+
+    step = f"{ptr('c.n')}"
+    return (
+        f"texts as (select {key}, case when json_valid({text}) then case when json_type({text}) = 'VARCHAR' then ({text}::json) ->> '$' else {text} end end as t from {table}), "
+        f"roots as (select {key}, t::json as v from texts where t is not null and json_valid(t) and json_type(t) <> 'VARCHAR'), "
+        f"every as (select {key}, '0' as node_key, null::varchar as parent_key, null::varchar as record_parent_key, '0' as record_key, 0 as ordinal, 0 as level, false as is_record, null::varchar as name, '' as path, '' as parent_path, "
+        f"'' as record_path, null::json as record, case when json_type(v) = 'ARRAY' then 'list' else 'schema' end as kind, v as sub from roots union all "
+        f"select {key}, node_key || '.' || place, node_key, record_key, case when c.r then node_key || '.' || place else record_key end, place::int, level + 1, c.r, case when c.r then c.n end, "
+        f"case when path = '' then '' else path || '/' end || case when c.r then {step} else c.n end, record_path, case when c.r then case when path = '' then '' else path || '/' end || {step} else record_path end, c.v, c.k, c.s "
+        f"from (select *, unnest(cs) as c, unnest(range(len(cs))) as place from (select *, {children('sub', 'kind')} as cs from every))), "
+        "nodes as (select * from every where level > 0)"
+    )

@@ -86,8 +86,9 @@ def test_links(spark):
         if r.record_parent_key != "0":
             owner = keys[r.ord, r.record_parent_key]
             assert owner.is_record and owner.path == r.parent_path
-    tables = nested.level_tables(nested.flatten_records(frame(spark, TEXTS), ["ord"], "parameters"), 3)
-    assert [t.count() > 0 for t in tables.values()] == [True] * 3
+    schema, tables = nested.child_tables(frame(spark, TEXTS), ["ord"], "parameters")
+    assert list(tables) == list(range(1, schema.levels + 1)) and all(t.count() > 0 for t in tables.values())
+    assert sum(t.count() for t in tables.values()) * 2 == len(rows)
 
 
 def test_empty(spark):
@@ -108,9 +109,38 @@ def test_deep_reader_equals_the_usual_one():
         if t is None:
             continue
         try:
-            want = json.loads(t, parse_constant=nested._refuse, parse_int=nested._scalar, parse_float=nested._scalar)
+            want = json.loads(t, parse_constant=nested._refuse, parse_int=nested._Number, parse_float=nested._Number)
         except ValueError:
             with pytest.raises(ValueError):
                 nested._read_deep(t)
         else:
             assert nested._read_deep(t) == want
+
+
+def test_attributes_have_the_merged_schemas_types(spark):
+    texts = [
+        '{"properties":{"a":{"type":"string","minimum":1.50,"required":true,"enum":[1,"x",null,{"k":2e999}],"properties":{"b":{"type":["x","y"],"description":"d\\u00e9"}}}}}',
+        '[{"name":"c","type":"int","minimum":2,"default":null,"fields":[{"name":"d","minimum":"many","required":false,"properties":5}]}]',
+        '{"properties":{"e":7,"f":{"items":[1],"anyOf":{"k":1}}}}',
+    ]
+    schema, tables = nested.child_tables(frame(spark, texts), ["ord"], "parameters")
+    assert schema.attributes == {
+        "type": "string", "minimum": "string", "required": "boolean", "enum": "string", "description": "string", "default": "string", "properties": "double", "items": "string", "anyOf": "string",
+    }
+    rows = {r.name: r.attributes.asDict() for t in tables.values() for r in t.collect()}
+    said = lambda n: {k: v for k, v in rows[n].items() if v is not None}
+    assert said("a") == {"type": "string", "minimum": "1.50", "required": True, "enum": '[1,"x",null,{"k":2e999}]'}
+    assert said("b") == {"type": '["x","y"]', "description": "dé"}
+    assert said("c") == {"type": "int", "minimum": "2"}
+    assert said("d") == {"minimum": "many", "required": False, "properties": 5.0}
+    assert said("e") == {} and said("f") == {"items": "[1]", "anyOf": '{"k":1}'}
+    assert nested.child_tables(frame(spark, ["{}", None]), ["ord"], "parameters") == (nested.RecordSchema(0, {}), {})
+
+
+def test_json_text_round_trip():
+    for t in TEXTS:
+        try:
+            value = nested.read_json(t or "")
+        except ValueError:
+            continue
+        assert nested.read_json(nested.json_text(value)) == value
