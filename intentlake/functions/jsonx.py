@@ -29,7 +29,17 @@ def recover_json(answer: Column | str) -> Column:
     """The JSON in a model's answer as a VARIANT: the whole text, else from the first ``[`` to the last ``]``, else ``{`` to ``}``; null if none parses."""
     text = as_col(answer)
     cut = lambda p: F.nullif(F.regexp_extract(text, p, 0), F.lit(""))
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(cut(r"(?s)\[.*\]")), F.try_parse_json(cut(r"(?s)\{.*\}")))
+    return F.coalesce(whole_json(text), whole_json(cut(r"(?s)\[.*\]")), whole_json(cut(r"(?s)\{.*\}")))
+
+
+def whole_json(text: Column) -> Column:
+    """A text's JSON as a VARIANT, null if the text isn't one JSON value from end to end.
+
+    The parser stops where a value ends. What follows it can't make an element of an array and the rest of
+    an object at once, so both are tried.
+    """
+    inside = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"x":', "}"))]
+    return F.when(inside[0] & inside[1], F.try_parse_json(text))
 
 
 def extract_arguments(query: Column | str, key: Column, kind: Column) -> Column:

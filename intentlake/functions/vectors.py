@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,15 @@ def normalize(v: Column | str) -> Column:
     return F.when(n == 0, as_col(v).cast("array<double>")).otherwise(F.transform(as_col(v), lambda x: x.cast("double") / n))
 
 
+def unit_vectors(vectors: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the vectors with exactly ``dim`` components, all finite and not all 0, and these over their lengths."""
+    row = np.flatnonzero(np.asarray(vectors.value_lengths().fill_null(-1)) == dim)
+    v = vectors.take(pa.array(row)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    norm = np.sqrt((v * v).sum(axis=1))
+    good = np.isfinite(norm) & (norm > 0)
+    return row[good], v[good] / norm[good][:, None]
+
+
 def pool_tokens(tokens: np.ndarray, mask: np.ndarray, pooling: str = "last", unit: bool = True) -> np.ndarray:
     """(texts, dimensions): one vector of each text from its token vectors, for embedding functions on Arrow batches.
 

@@ -170,7 +170,16 @@ def text_decompose(spark, sf_dir):
     return rows.select("entry_ord", "part", F.col("p").cast("bigint").alias("part_no"))
 
 
-@query()
+@query(
+    f"with {TOOLS_N}, {CASES_N}, r as (select c.ord as case_ord, c.query, t.parameters as p from cases_n c join tools_n t on c.ground_truth_tool = t.name), "
+    "o as (select * from r where json_valid(p) and json_type(p, '/properties') = 'OBJECT'), "
+    "e as (select case_ord, query, p, unnest(json_keys(p, '/properties')) as parameter from o), "
+    "k as (select case_ord, query, parameter, coalesce(json_extract_string(p, '/properties/' || replace(replace(parameter, '~', '~0'), '/', '~1') || '/type'), '') as kind from e), "
+    f"t as (select *, {O.tok('query')} as tk, {O.tok('parameter')} as kt, regexp_extract_all(query, '-?[0-9]+(?:\\.[0-9]+)?') as nums, regexp_extract_all(upper(query), '\\b[A-Z]{{3}}\\b') as codes from k), "
+    "v as (select case_ord, parameter, case when len(tk) = 0 then null when kind in ('integer', 'number') and len(nums) > 0 then nums[1] "
+    "when contains(parameter, 'currency') and len(codes) > 0 then case when starts_with(parameter, 'to') and len(codes) > 1 then codes[2] else codes[1] end "
+    "when list_has_any(kt, tk) then array_to_string(tk[-3:], ' ') end as value from t) select case_ord, parameter, value from v where value is not null"
+)
 def text_arguments(spark, sf_dir):
     """The argument of every top-level parameter of a case's tool that its request holds."""
     rows = keyed_cases(spark, sf_dir).withColumnRenamed("ord", "case_ord").join(keyed_tools(spark, sf_dir), F.col("ground_truth_tool") == F.col("name"))
@@ -180,7 +189,10 @@ def text_arguments(spark, sf_dir):
     return each.select("case_ord", F.col("p.key").alias("parameter"), value.alias("value")).where("value is not null")
 
 
-@query()
+@query(
+    "with a as (select ord, parameters, regexp_extract('Here it is:' || chr(10) || parameters || chr(10) || 'Done.', '(?s)\\[.*\\]') as l, regexp_extract('Here it is:' || chr(10) || parameters || chr(10) || 'Done.', '(?s)\\{.*\\}') as o from tools) "
+    "select ord, case when parameters is null then null when l <> '' and json_valid(l) then json_type(l) when o <> '' and json_valid(o) then json_type(o) end as kind from a"
+)
 def text_recovered_json(spark, sf_dir):
     """The kind of JSON value that each parameter text holds, wrapped in chatter and recovered."""
     answer = F.concat(F.lit("Here it is:\n"), F.col("parameters"), F.lit("\nDone."))
@@ -210,13 +222,21 @@ def vector_search(spark, sf_dir):
     return found.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    f"with u as (select unit_id, {O.key('tool_name')} as tool, vector::double[] as v from query_augmented_units where unit_id is not null and len(vector) = 64 "
+    "and len(list_filter(vector, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0), "
+    "c as (select q.unit_id as query_id, u.unit_id as id, u.tool, list_cosine_similarity(q.v, u.v) as score from u q join u on u.unit_id <> q.unit_id where q.unit_id % 100 = 0), "
+    "n as (select query_id, id, tool, round(score, 9) as score, row_number() over (partition by query_id order by score desc, id) as place from c), "
+    f"h as (select * from n where place <= 50 and score > 0 and tool is not null), {O.tool_rank('tr', 'h', 'query_id', 'tool', 'id')} "
+    "select query_id, tool, rank, n_hits, score from tr where rank <= 10"
+)
 def vector_tool_search(spark, sf_dir):
     """Tools of the nearest units of every hundredth unit, by the tool score."""
     units = read(spark, sf_dir, "query_augmented_units")
-    near = ranking.dense_search(units, "unit_id", "vector", units.where("unit_id % 100 = 0"), 64, 50)
+    near = ranking.dense_search(units, "unit_id", "vector", units.where("unit_id % 100 = 0"), 64, 50).withColumn("score", F.round("score", 9))
     names = units.select(F.col("unit_id").alias("id"), T.tool_key("tool_name").alias("tool"))
-    return pipelines.rank_tools(near.where("score > 0").join(names, "id").where("tool is not null"), ["query_id"], "tool", 10, "id")
+    rows = pipelines.rank_tools(near.where("score > 0").join(names, "id").where("tool is not null"), ["query_id"], "tool", 10, "id")
+    return rows.select("query_id", "tool", F.col("rank").cast("bigint").alias("rank"), "n_hits", "score")
 
 
 @query(
@@ -358,11 +378,62 @@ def retrieve_units(spark, sf_dir):
     return rows.select("ord", "name", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
-@query()
+def _decomposed_sql() -> str:
+    cut, parts, lead, acts = O.decompose("query")
+    return (
+        f"{TOOLS_N}, {O.M}, known as (select * from manual_n where tool_name is not null), ds as (select ord, {cut} as s from cases where query is not null), "
+        f"dp as (select ord, s, {parts} as parts, {lead} as lead from ds), "
+        f"dn as (select ord, s, parts, list_transform(parts, lambda x: case when regexp_matches(x, '{acts}') then x else lead || x end) as named from dp), "
+        "df as (select ord, unnest(named) as query, unnest(range(len(named))) as pos from dn where len(parts) > 1), "
+        "da as (select ord, query, min(pos) as pos from df group by all union all select ord, s, 1000000 from dn where len(parts) > 1 and not list_contains(named, s) "
+        "union all select ord, s, 0 from dn where len(parts) <= 1 and s <> ''), "
+        "parts as (select ord, query, row_number() over (partition by ord order by pos) - 1 as part from da), "
+        + O.bm25_cte("b", "known", "entry_ord", "query", "parts", "ord, part", "query")
+        + ", h as (select b.ord, b.part, m.tool_name, b.score, b.entry_ord from b join known m using (entry_ord)), "
+        + O.tool_rank("tr", "h", "ord, part", "tool_name", "entry_ord")
+        + ", f as (select *, row_number() over (partition by ord, tool_name order by rank, part) as f from tr where rank <= 10), "
+        "merged as (select ord, tool_name, row_number() over (partition by ord order by rank, part) as rank from f where f = 1), top as (select * from merged where rank <= 10)"
+    )
+
+
+_DECOMPOSED = _decomposed_sql()
+
+
+@query(f"with {_DECOMPOSED} select ord, tool_name, rank from top")
 def retrieve_decomposed(spark, sf_dir):
     """Parts of every request ranked apart and merged rank by rank."""
     entries = keyed_manual(spark, sf_dir).where("tool_name is not null")
-    return pipelines.decomposed_ranking(read(spark, sf_dir, "cases"), entries, 10)
+    rows = pipelines.decomposed_ranking(read(spark, sf_dir, "cases"), entries, 10)
+    return rows.select("ord", "tool_name", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    f"with {_DECOMPOSED}, fill as (select c.ord, t.name as tool_name, t.ord as pos from cases c cross join tools_n t where not exists (select 1 from top where top.ord = c.ord and top.tool_name = t.name)), "
+    "every as (select ord, tool_name, rank, null as pos from top union all select ord, tool_name, null, pos from fill), "
+    "r as (select ord, tool_name, row_number() over (partition by ord order by rank nulls last, pos) as rank from every) select ord, tool_name, rank from r where rank <= 10"
+)
+def retrieve_decomposed_filled(spark, sf_dir):
+    """The merged lists topped up in the order of the catalogue, so that every request has ten tools."""
+    entries = keyed_manual(spark, sf_dir).where("tool_name is not null")
+    pool = keyed_tools(spark, sf_dir).select(F.col("name").alias("tool_name"), F.col("ord").alias("pos"))
+    rows = pipelines.decomposed_ranking(read(spark, sf_dir, "cases"), entries, 10, pool)
+    return rows.select("ord", "tool_name", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    f"with {_BM_TOOLS}, s as (select ord, tool_name, string_agg(entry_ord::varchar || ':' || query, '|' order by hr) as support from tr_r join (select entry_ord, query from manual_n) using (entry_ord) where hr <= 3 group by all) "
+    "select ord, tool_name, rank, support from tr join s using (ord, tool_name) where rank <= 5"
+)
+def retrieve_bm25_support(spark, sf_dir):
+    """The five best tools of every request with the three manual queries that speak most for each."""
+    entries = keyed_manual(spark, sf_dir)
+    hits = pipelines.manual_hits(read(spark, sf_dir, "cases"), entries, None).where("tool_name is not null")
+    rows = pipelines.rank_tools(hits, ["ord"], "tool_name", 5, "entry_ord", ["entry_ord"])
+    said = rows.select("ord", "tool_name", "rank", F.posexplode("support").alias("place", "s")).select("ord", "tool_name", "rank", "place", F.col("s.entry_ord").alias("entry_ord"))
+    said = said.join(entries.select("entry_ord", "query"), "entry_ord")
+    listed = F.array_sort(F.collect_list(F.struct("place", F.concat(F.col("entry_ord").cast("string"), F.lit(":"), "query").alias("t"))))
+    rows = said.groupBy("ord", "tool_name", "rank").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "|").alias("support"))
+    return rows.select("ord", "tool_name", F.col("rank").cast("bigint").alias("rank"), "support")
 
 
 @query(
@@ -562,7 +633,41 @@ def manual_batches(spark, sf_dir):
     return placed.select("ord", sampling.chunk_number(F.col("idx"), 64).alias("batch"))
 
 
-@query()
+def _generated_sql() -> str:
+    def h(suffix: str, n: str) -> str:
+        return f"(('0x' || substr(sha256('7|9|' || query_id || '|{suffix}'), 1, 15))::ubigint % {n})::bigint"
+
+    def filled(template: str) -> str:
+        text = O.lit(template)
+        for mark, value in (("{d}", "d"), ("{n}", "n"), ("{t}", "t")):
+            text = f"replace({text}, '{mark}', {value})" if mark in template else text
+        return text
+
+    templates = "[" + ", ".join(filled(t) for t in manual.TEMPLATES) + "]"
+    texts = [f"{O.tok(f'coalesce({c}, {chr(39) * 2})')}" for c in ("name", "description", "parameters")]
+    return (
+        f"{TOOLS_N}, tt as (select ord, {' || '.join(texts)} as tk from tools_n), te as (select ord, unnest(tk) as term, unnest(range(len(tk))) as pos from tt), "
+        "tc as (select ord, term, count(*) as n, min(pos) as f from te group by all), tp as (select *, row_number() over (partition by ord order by n desc, f) as place from tc), "
+        "tm as (select ord, string_agg(term, ' ' order by place) as main from tp where place <= 3 group by 1), "
+        "tv as (select ord, name, regexp_replace(coalesce(description, ''), '\\.+$', '') as d, replace(coalesce(name, ''), '_', ' ') as n, coalesce(main, replace(coalesce(name, ''), '_', ' ')) as t from tools_n left join tm using (ord)), "
+        f"tq as (select ord, name, unnest({templates}) as query, unnest(range({len(manual.TEMPLATES)})) as query_no from tv), pq as (select *, ord || ':' || query_no as query_id from tq), "
+        "cat as (select row_number() over (order by ord) - 1 as idx, name from tools_n), nn as (select count(*) as n from cat), "
+        "pr as (select n, (select min(p) from (select unnest(range(greatest(n, 2), n * 2 + 10)) as p) where not exists (select 1 from (select unnest(range(2, 2000)) as d) where d * d <= p and p % d = 0)) as p from nn), "
+        f"ab as (select query_id, name as gold, p, n, {h('a', '(p - 1)')} + 1 as a, {h('b', 'p')} as b from pq cross join pr), "
+        "dr as (select query_id, gold, a, b, p, unnest(range(least(p, 9 + p - n + 1))) as j from ab), nm as (select query_id, cat.name, j from dr join cat on cat.idx = (a * j + b) % p where cat.name <> gold), "
+        "ot as (select *, row_number() over (partition by query_id order by j) as r from nm), al as (select query_id, name from ot where r <= 8 union all select query_id, name from pq), "
+        "pl as (select *, row_number() over (partition by query_id order by sha256('7|9|' || query_id || '|' || name), name) as pos from al), "
+        f"dq as (select query_id, {O.tok('query')} as qt from pq), dd as (select name, {O.tok('concat_ws(chr(32), coalesce(name, chr(39) || chr(39)), coalesce(description, repeat(chr(32), 0)), coalesce(parameters, repeat(chr(32), 0)))')} as dt from tools_n), "
+        f"ov as (select query_id, name, pos, {O.overlap('qt', 'dt')} as ov from pl join dq using (query_id) join dd using (name)), "
+        "ch as (select *, row_number() over (partition by query_id order by ov desc, pos) as r from ov), "
+        "made as (select q.ord, q.name, q.query_no::int as query_no, q.query, q.query_id, case when c.ov > 0 then c.name end as verifier_choice from pq q left join ch c on c.query_id = q.query_id and c.r = 1)"
+    )
+
+
+@query(
+    f"with {_generated_sql()} select *, coalesce(verifier_choice = name, false) as accepted, "
+    "case when coalesce(verifier_choice = name, false) then null when verifier_choice is null then 'no_choice' else 'other_tool' end as rejection_reason from made"
+)
 def manual_generated(spark, sf_dir):
     """Template queries of every tool, verified against eight distractors each."""
     tools = keyed_tools(spark, sf_dir)
@@ -581,15 +686,30 @@ def manual_generated(spark, sf_dir):
 )
 def convert_fill_forward(spark, sf_dir):
     """Manual rows read as sheets by source: every third row begins a tool, the others go on."""
+    out = _sheet_tools(spark, sf_dir)
+    return out.select(F.when(F.col("sheet") != "~", F.col("sheet")).alias("sheet"), "ord", F.size("parameters").cast("bigint").alias("n_parameters"))
+
+
+def _sheet_tools(spark, sf_dir):
     rows = read(spark, sf_dir, "manual").select(
         F.coalesce("source", F.lit("~")).alias("sheet"), F.col("entry_ord").alias("ord"), F.when(F.col("entry_ord") % 3 == 1, F.col("tool_name")).alias("action_name"),
-        F.col("query").alias("action_description"), F.col("query").alias("input_name"), F.lit("Integer").alias("input_type"), F.lit(None).cast("string").alias("input_description"),
+        F.col("query").alias("action_description"), F.col("query").alias("input_name"), F.lit("Integer").alias("input_type"), F.col("source").alias("input_description"),
     )
-    out = convert.fill_forward_tools(rows, "sheet")
-    return out.select(F.when(F.col("sheet") != "~", F.col("sheet")).alias("sheet"), "ord", F.size("parameters").cast("bigint").alias("n_parameters"))
+    return convert.fill_forward_tools(rows, "sheet")
 
 
-@query()
+@query(
+    f"with s as (select ord, {O.cleaned('category')} as module, {O.cleaned('description')} as label, {O.cleaned('regexp_replace(name, ' + O.lit('[^A-Za-z0-9]') + ', ' + O.lit('') + ', ' + O.lit('g') + ')')} as nm, {O.key('name')} as signal, name as raw from tools), "
+    "u as (select * from s where signal is not null and lower(signal) not in ('none', 'nan') and signal <> ''), "
+    "g as (select *, case when raw is not null then [regexp_extract('boolean get' || regexp_replace(raw, '[^A-Za-z0-9]', '', 'g') || '(', 'boolean (get[A-Za-z_]\\w*)\\(', 1)] else [] end as getter from u), "
+    "d as (select signal, ord, label, getter, case when module <> '' and label <> '' then '查询' || module || '模块的' || label || '。' when label <> '' then '查询' || label || '。' else '' end || 'VSpec类型：boolean。' || "
+    "case when len(getter) > 0 and getter[1] <> '' then '北向查询API：' || getter[1] || '。' else '' end as text from g), "
+    "t as (select signal, text, min(ord) as ord from d group by all), tools_s as (select signal as name, min(ord) as ord, string_agg(text, ' ' order by ord, text) as description from t group by 1), "
+    "f as (select signal, label, row_number() over (partition by signal order by ord) as r from d where len(getter) > 0 and getter[1] <> ''), "
+    "l as (select signal, case when label = '' then '该状态' else label end as label from f where r = 1) "
+    "select t.ord, t.name, t.description, case when l.signal is null then '[]' else json_array(json_object('name', 'zoneId', 'type', 'string', 'description', 'DoorZone zoneId，用于指定查询' || l.label || '时的车辆区域或位置。'), "
+    "json_object('name', 'level', 'type', 'integer', 'description', 'int level，用于指定查询' || l.label || '时的车辆区域或位置。'))::varchar end as parameters from tools_s t left join l on l.signal = t.name"
+)
 def convert_signals(spark, sf_dir):
     """Tools as signals whose getter takes a zone."""
     api = F.concat(F.lit("boolean get"), F.regexp_replace("name", "[^A-Za-z0-9]", ""), F.lit("(@NonNull DoorZone zoneId, int level)"))
@@ -605,6 +725,20 @@ def convert_value_types(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.value_type("p_type").alias("kind"), T.clean_text("p_name").alias("name"))
 
 
+@query(
+    f"with s as (select entry_ord as ord, source as sheet, case when entry_ord % 3 = 1 then {O.cleaned('tool_name')} else '' end as name, {O.cleaned('query')} as q, {O.cleaned('source')} as d from manual), "
+    "c as (select *, last_value(case when name <> '' then ord end ignore nulls) over (partition by sheet order by ord) as t from s), "
+    "p as (select sheet, t, q, d, ord, row_number() over (partition by sheet, t, q order by ord) as r from c where t is not null and q <> ''), "
+    "l as (select sheet, t, string_agg(q || ' integer ' || d, '|' order by ord) as parameters, count(*) as n from p where r = 1 group by all) "
+    "select c.sheet, c.t as ord, c.name, c.q as description, coalesce(l.parameters, '') as parameters from c left join l on l.sheet is not distinct from c.sheet and l.t = c.t where c.ord = c.t"
+)
+def convert_sheets(spark, sf_dir):
+    """As ``convert_fill_forward`` with the tools' names and descriptions and all their parameters."""
+    out = _sheet_tools(spark, sf_dir)
+    listed = F.array_join(F.transform("parameters", lambda x: F.concat_ws(" ", x["name"], x["type"], x["description"])), "|")
+    return out.select(F.when(F.col("sheet") != "~", F.col("sheet")).alias("sheet"), "ord", "name", "description", listed.alias("parameters"))
+
+
 # ---- evaluation
 
 
@@ -689,7 +823,7 @@ def evaluate_scored_strata(spark, sf_dir):
 )
 def evaluate_compare(spark, sf_dir):
     """Two runs over the log by request: the last row of the one, all rows of the other."""
-    hits = read(spark, sf_dir, "hits").where("score is null or not isnan(score) or true")
+    hits = read(spark, sf_dir, "hits")
     a = hits.select("qid", "hit_id", (F.col("score") > 0.5).alias("flag")).distinct()
     b = hits.select("qid", "hit_id", (F.col("score") > 0.7).alias("flag")).distinct()
     both = evaluate.compare_runs(a, b.drop("hit_id"), ["qid"], "hit_id", "flag")

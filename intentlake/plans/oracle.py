@@ -25,6 +25,11 @@ def key(c: str) -> str:
     return f"trim({norm(c)})"
 
 
+def cleaned(c: str) -> str:
+    t = rf"regexp_replace(coalesce({c}, ''), '^\s+|\s+$', '', 'g')"
+    return f"case when lower({t}) in ('none', 'nan') then '' else {t} end"
+
+
 def grams(t: str, n: int) -> str:
     return f"list_transform(range(1, greatest(1, length({t}) - {n} + 2)), lambda i: substr({t}, i::int, {n}))"
 

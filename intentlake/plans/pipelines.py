@@ -97,10 +97,14 @@ def pool_tfidf_ranking(cases: DataFrame, drawn: DataFrame, docs: DataFrame, k: i
     return ranking.top_k(rows, pool, ranking.by_score("pos"), k).select(*pool, "rank", "name", "score")
 
 
-def rank_tools(hits: DataFrame, group: Sequence[str], tool: str, k: int, ordinal: str) -> DataFrame:
-    """(group, ``rank``, tool, ``score``, ``n_hits``): tools of each request by their score; ties by their first hit's ordinal, then name."""
-    scored = ranking.tool_scores(hits, group, tool, ordinal).withColumnRenamed("tool_score", "score")
-    return ranking.top_k(scored, group, ranking.by_score("first_hit", tool), k).select(*group, "rank", tool, "score", "n_hits")
+def rank_tools(hits: DataFrame, group: Sequence[str], tool: str, k: int, ordinal: str, support: Sequence[str] = ()) -> DataFrame:
+    """(group, ``rank``, tool, ``score``, ``n_hits``): tools of each request by their score; ties by their first hit's ordinal, then name.
+
+    With ``support`` columns also ``support``, those columns of the tool's three best hits.
+    """
+    scored = ranking.tool_scores(hits, group, tool, ordinal, support).withColumnRenamed("tool_score", "score")
+    best = ranking.top_k(scored, group, ranking.by_score("first_hit", tool), k)
+    return best.select(*group, "rank", tool, "score", "n_hits", *(["support"] if support else []))
 
 
 def document_ranking(cases: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -111,6 +115,7 @@ def document_ranking(cases: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """
     built = index.bm25_index(docs, ["doc_ord"], F.col("document"))
     best = ranking.top_k(_rounded(built.score(cases, ["ord"], F.col("query"))), ["ord"], ranking.by_score("doc_ord"), k)
+    # What is sent to all tasks is one array of k ordinals.
     first = docs.select("doc_ord").orderBy("doc_ord").limit(k).agg(F.collect_list("doc_ord").alias("_all"))
     fill = cases.select("ord").join(F.broadcast(first)).select("ord", F.explode("_all").alias("doc_ord"), F.lit(0.0).alias("score"))
     fill = fill.join(best.select("ord", "doc_ord"), ["ord", "doc_ord"], "left_anti")
@@ -133,13 +138,18 @@ def decomposed(cases: DataFrame, keep_original: bool = True) -> DataFrame:
     return cases.select("ord", F.posexplode(decompose_query("query", keep_original)).alias("part", "query"))
 
 
-def decomposed_ranking(cases: DataFrame, manual: DataFrame, k: int) -> DataFrame:
-    """(``ord``, ``rank``, ``tool_name``): every part's tools by BM25, merged rank by rank."""
+def decomposed_ranking(cases: DataFrame, manual: DataFrame, k: int, pool: DataFrame | None = None) -> DataFrame:
+    """(``ord``, ``rank``, ``tool_name``): every part's tools by BM25, merged rank by rank.
+
+    With ``pool`` (``tool_name``, ``pos``) every request's list is topped up with its tools in pool order.
+    """
     parts = decomposed(cases)
     built = index.bm25_index(manual, ["entry_ord"], F.col("query"))
     hits = _rounded(built.score(parts, ["ord", "part"], F.col("query"))).join(manual.select("entry_ord", "tool_name"), "entry_ord")
     tools = rank_tools(hits, ["ord", "part"], "tool_name", k, "entry_ord")
-    return ranking.merge_ranked(tools, ["ord"], "tool_name", "part", "rank", k)
+    if pool is None:
+        return ranking.merge_ranked(tools, ["ord"], "tool_name", "part", "rank", k)
+    return ranking.merge_and_fill(tools, ["ord"], "tool_name", "part", "rank", cases, pool, k)
 
 
 def scoped_ranking(asked: DataFrame, drawn: DataFrame, manual: DataFrame, k: int) -> DataFrame:

@@ -86,3 +86,14 @@ def test_vectors(spark):
     assert one(spark, vectors.dot("a", "b"), a=[1.0, 2.0], b=[3.0, 4.0]) == 11.0
     assert one(spark, vectors.normalize("a"), a=[3.0, 4.0]) == [0.6, 0.8]
     assert one(spark, vectors.normalize("a"), a=[0.0, 0.0]) == [0.0, 0.0]
+
+
+def test_recovered_json_is_whole(spark):
+    from intentlake.functions import jsonx
+
+    cases = {
+        '{"a": 1}': '{"a":1}', "well: [1, 2] done": "[1,2]", '["x"], "y": [1] then {"k": 2}': '{"k":2}', "[1] and ]": None, "{1} or }": None, "1, 2": None, "1}": None, "1]": None, '1, "x": 2': None, "": None, None: None, " 7 ": "7",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.j for r in df.select("t", F.to_json(jsonx.recover_json("t")).alias("j")).collect()}
+    assert got == cases
