@@ -8,6 +8,7 @@ STOPWORDS = (
     "use", "with",
 )
 
+# Synonyms of a word, in their order.
 SYNONYMS = {
     "umbrella": ["rain", "weather", "forecast"],
     "rain": ["weather", "forecast"],
@@ -30,12 +31,14 @@ SYNONYMS = {
     "change": ["convert", "currency"],
 }
 
+# Phrases, in the order in which they are looked for.
 CJK_PHRASES = (
     "光场屏", "投影幕布", "投影光机", "后视镜", "中控屏", "仪表盘", "娱乐屏", "隐私玻璃", "侧方行驶", "蟹行", "驾驶模式", "运动模式",
     "舒适模式", "节能模式", "单踏板", "自动驻车", "自适应巡航", "车道辅助", "盲区监测", "碰撞预警", "画面", "画幅", "屏幕", "放大", "调大",
     "缩小", "调小", "取消", "关闭", "关掉", "禁用", "退出", "打开", "开启",
 )
 
+# Synonyms of a phrase, in their order.
 CJK_SYNONYMS = {
     "取消": ["关闭", "关掉", "禁用", "退出", "off", "disable"],
     "关闭": ["取消", "关掉", "禁用", "off", "disable"],
@@ -51,8 +54,10 @@ CJK_SYNONYMS = {
     "屏幕": ["画面", "画幅", "screen", "size"],
 }
 
+# Where a request is cut.
 CONJUNCTIONS = ("并且", "同时", "以及", "然后", "还有", "另外", "再", "和", "与", "及", "，", ",", "、", "；", ";")
 
+# Actions, in the order in which they are looked for.
 ACTIONS = (
     "取消", "关闭", "关掉", "禁用", "退出", "打开", "开启", "启动", "上锁", "锁上", "解锁", "开锁", "切换", "设置", "设为", "调到", "调高",
     "调低", "调大", "调小", "放大", "缩小", "增加", "减少", "升高", "降低",

@@ -6,10 +6,13 @@ otherwise.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from intentlake.functions.lexicon import ACTIONS, CONJUNCTIONS
 from intentlake.functions.tokens import counts_of, tokens_of
@@ -63,6 +66,19 @@ def hash_bucket(c: Column | str, buckets: int) -> Column:
     return F.conv(F.substring(F.sha2(as_col(c), 256), 1, 15), 16, 10).cast("bigint") % buckets
 
 
+@F.arrow_udf(LongType())
+def _blake(texts: pa.Array) -> pa.Array:
+    # Eight bytes as a signed number; the bucket is taken of the unsigned one.
+    return pa.array([None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True) for t in texts.to_pylist()], pa.int64())
+
+
+def published_bucket(c: Column | str, buckets: int) -> Column:
+    """The bucket of a string by the published hash: BLAKE2b of eight bytes, big-endian and unsigned, modulo ``buckets`` (at most 2**31)."""
+    h = _blake(as_col(c))
+    # 2**64 mod buckets makes up for the sign.
+    return F.pmod(F.pmod(h, F.lit(buckets)) + F.when(h < 0, F.lit((1 << 64) % buckets)).otherwise(F.lit(0)), F.lit(buckets)).cast("bigint")
+
+
 def text_digest(texts: Column) -> Column:
     """SHA-256 over an array of texts, each ended by a NUL character."""
     return F.sha2(F.array_join(F.transform(texts, lambda t: F.concat(t, F.chr(F.lit(0)))), ""), 256)
@@ -145,6 +161,7 @@ def decompose_query(c: Column | str, keep_original: bool = True) -> Column:
 
 def getter_signatures(c: Column | str) -> Column:
     """``ARRAY<STRUCT<return_type, name, params>>`` of the methods ``Type getX(params)`` in a text; empty for null."""
+    # Fixed value: the pattern of a getter's signature.
     pattern = r"\b([A-Za-z_][\w.<>\[\]?]*)\s+(get[A-Za-z_]\w*)\s*\(([^)]*)\)"
     text = F.coalesce(as_col(c), F.lit(""))
     group = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]

@@ -85,6 +85,7 @@ def signal_tools(rows: DataFrame, include_without_getter: bool = True) -> DataFr
     return joined.select("ord", F.col("signal").alias("name"), "description", F.coalesce("parameters", F.array().cast(f"array<{PARAMETER}>")).alias("parameters"))
 
 
+# The sentences of descriptions below and in ``signal_tools``.
 def signal_description(module: Column, label: Column, value_range: Column, signal_type: Column, prop_id: Column, getters: Column) -> Column:
     """The sentence of each known part of a signal, joined."""
     names = F.array_join(F.transform(getters, lambda g: g["name"]), ", ")

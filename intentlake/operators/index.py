@@ -7,7 +7,7 @@ included. With ``pool`` columns every statistic and every match is per pool.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -121,18 +121,18 @@ def smooth_idf(docs: DataFrame, keys: Sequence[str], text: Column, pool: Sequenc
 
 
 def hashed_vectors(
-    docs: DataFrame, keys: Sequence[str], text: Column, idf: DataFrame, dims: int = DIMENSIONS, pool: Sequence[str] = ()
+    docs: DataFrame, keys: Sequence[str], text: Column, idf: DataFrame, dims: int = DIMENSIONS, pool: Sequence[str] = (), bucket: Callable[..., Column] = hash_bucket
 ) -> DataFrame:
     """(pool, keys, ``idx``, ``w``): sparse unit vectors of hashed TF-IDF weights.
 
     A term adds sign * (1 + ln tf) * idf at its bucket; the sign comes from a second hash, unknown terms
-    have idf 1. Documents whose weights are all 0 or that have no tokens have no rows.
+    have idf 1. ``bucket`` is the hash, ``hash_bucket`` or ``published_bucket``. Documents whose weights are all 0 or that have no tokens have no rows.
     """
     keys = [*pool, *keys]
     terms = term_counts(docs, keys, text).join(idf.select(*pool, "term", "idf"), [*pool, "term"], "left")
-    sign = F.when(hash_bucket(F.concat(F.lit("sign:"), "term"), 2) == 0, 1.0).otherwise(-1.0)
+    sign = F.when(bucket(F.concat(F.lit("sign:"), "term"), 2) == 0, 1.0).otherwise(-1.0)
     weight = sign * (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(1.0))
-    cells = terms.select(*keys, hash_bucket("term", dims).alias("idx"), weight.alias("w")).groupBy(*keys, "idx").agg(F.sum("w").alias("w"))
+    cells = terms.select(*keys, bucket("term", dims).alias("idx"), weight.alias("w")).groupBy(*keys, "idx").agg(F.sum("w").alias("w"))
     norms = cells.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return cells.join(norms, list(keys)).where("norm > 0").select(*keys, "idx", (F.col("w") / F.col("norm")).alias("w"))
 

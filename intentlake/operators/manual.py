@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from intentlake.functions.jsonx import json_payload
 from intentlake.functions.text import term_overlap, tokenize
-from intentlake.operators.sampling import pools
+from intentlake.operators.sampling import dense_index, pools
+from intentlake.session import cut_lineage
 
 # The sentence templates of the offline teacher, {d} description, {n} name, {t} main terms.
 TEMPLATES = (
@@ -142,8 +146,125 @@ def generate(df: DataFrame, columns: Sequence[str], model: Callable[[list[dict]]
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def parse_choice(answer: Column, names: Column) -> Column:
-    """The tool an answer names: the trimmed answer itself, else the first name it contains in pool order, else null."""
-    text = F.trim(answer)
-    inside = F.filter(names, lambda n: F.contains(text, n))
-    return F.when(F.array_contains(names, text), text).otherwise(F.get(inside, F.lit(0)))
+def parse_choice(answer: Column, names: Column, inside: bool = True) -> Column:
+    """The tool an answer names: the trimmed answer itself, else (``inside``) the first name it contains in pool order, else its first word if that is a name, else null.
+
+    Quotes around an answer don't count.
+    """
+    text = F.regexp_replace(F.trim(answer), "^[\"']+|[\"']+$", "")
+    word = F.regexp_extract(text, "[A-Za-z0-9_./-]+", 0)
+    held = F.get(F.filter(names, lambda n: F.contains(text, n)), F.lit(0)) if inside else F.lit(None).cast("string")
+    return F.when(F.array_contains(names, text), text).otherwise(F.coalesce(held, F.when(F.array_contains(names, word), word)))
+
+
+def generation_prompt(rows: Sequence[dict], domain: str = "") -> str:
+    """What a model is asked for one tool or several: so many requests of users for each, as JSON by exact tool name."""
+    about = f" They come from {domain}." if domain else ""
+    listed = json.dumps([{k: r[k] for k in ("name", "description", "parameters", "needed") if r.get(k) is not None} for r in rows], ensure_ascii=False)
+    return (
+        f"For each tool below write as many requests as its \"needed\" says, as its users would phrase them: varied, some indirect, none naming the tool.{about} "
+        f"Answer with one JSON object whose keys are the exact tool names and whose values are lists of strings.\n{listed}"
+    )
+
+
+def batch_answers(text: str, rows: Sequence[dict]) -> list[list[str]]:
+    """The queries for each row from a model's answer, by exact tool name; raises ``ValueError`` where a tool is missing or has too few.
+
+    The answer is a JSON object of lists, or for a single tool a list.
+    """
+    found = json_payload(text)
+    if isinstance(found, list) and len(rows) == 1:
+        found = {rows[0]["name"]: found}
+    if not isinstance(found, dict):
+        raise ValueError("the answer holds no object of lists")
+    out = []
+    for r in rows:
+        asked = found.get(r["name"])
+        queries = [q.strip() for q in asked if isinstance(q, str) and q.strip()] if isinstance(asked, list) else []
+        if len(queries) < r["needed"]:
+            raise ValueError(f"{len(queries)} of {r['needed']} queries for {r['name']}")
+        out.append(queries[: r["needed"]])
+    return out
+
+
+#: Errors after which a call is worth repeating; others are passed on at once.
+TRANSIENT = (TimeoutError, ConnectionError, OSError)
+
+
+def patient(call: Callable[[str], str], attempts: int = 3, wait: float = 1.0) -> Callable[[str], str]:
+    """``call``, repeated after transient errors with a pause that grows by ``wait`` seconds each time; the last error is passed on."""
+
+    def run(prompt: str) -> str:
+        for n in range(1, attempts + 1):
+            try:
+                return call(prompt)
+            except TRANSIENT:
+                if n == attempts:
+                    raise
+                time.sleep(wait * n)
+
+    return run
+
+
+def chat_model(call: Callable[[str], str], domain: str = "") -> Callable[[list[dict]], list[list[str]]]:
+    """A model for ``generate`` from a function that answers prompts: one prompt for a batch, then one for each tool if the batch's answer is no use."""
+
+    def model(rows: list[dict]) -> list[list[str]]:
+        try:
+            return batch_answers(call(generation_prompt(rows, domain)), rows)
+        except ValueError:
+            if len(rows) == 1:
+                raise
+            return [batch_answers(call(generation_prompt([r], domain)), [r])[0] for r in rows]
+
+    return model
+
+
+LOG = "round int, query_id string, ord bigint, tool_name string, query string, accepted boolean, verifier_choice string, rejection_reason string, error string"
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The candidate rows of a build so far; none where nothing was written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], LOG)
+    return spark.read.schema(LOG).parquet(path)
+
+
+def build(
+    tools: DataFrame, path: str, model: Callable[[list[dict]], list[list[str]]], target: int = 8, rounds: int = 3, distractors: int | None = 8, batch_size: int = 16, seed: int = 7
+) -> DataFrame:
+    """(``ord``, ``tool_name``, ``query``, ``query_id``): the accepted queries of every tool, the first ``target`` of the log.
+
+    ``tools``: ``ord``, ``name`` (unique), ``description``, ``parameters``. Each round asks the model for what a
+    tool still needs, verifies it (not if ``distractors`` is None) and appends to the log under ``path``; rows
+    of tools whose model failed say why. A build that ended early goes on where it stopped, finished tools
+    aren't asked for again, and rejected queries are made up for in the next round. Batches hold tools that need
+    equally many.
+    """
+    spark = tools.sparkSession
+    catalogue = dense_index(tools.select("ord", "name"), ["ord"]).select("idx", "name") if distractors is not None else None
+    for _ in range(rounds):
+        log = read_log(spark, path)
+        todo = cut_lineage(unfinished(tools.select("ord", "name", "description", "parameters"), log.select("tool_name", "accepted"), target))
+        if todo.isEmpty():
+            break
+        number = (log.agg(F.max("round")).first()[0] or 0) + 1
+        ordered = todo.repartitionByRange("needed", "ord").sortWithinPartitions("needed", "ord")
+        made = cut_lineage(generate(ordered, ["ord", "name", "description", "parameters", "needed"], model, batch_size))
+        some = made.where("error is null").select("ord", "name", F.posexplode(F.slice("queries", F.lit(1), F.col("needed"))).alias("no", "query"))
+        some = some.withColumn("query_id", F.concat_ws(":", "ord", F.lit(number), "no"))
+        if distractors is not None:
+            some = verify_queries(some, tools, catalogue, distractors, seed)
+        else:
+            some = some.withColumns({"accepted": F.lit(True), "verifier_choice": F.lit(None).cast("string"), "rejection_reason": F.lit(None).cast("string")})
+        rows = some.select(F.lit(number).alias("round"), "query_id", "ord", F.col("name").alias("tool_name"), "query", "accepted", "verifier_choice", "rejection_reason", F.lit(None).cast("string").alias("error"))
+        # One row for each query that was expected.
+        failed = made.where("error is not null").select("ord", "name", "error", F.explode(F.sequence(F.lit(0), F.col("needed") - 1)).alias("no"))
+        failed = failed.select(
+            F.lit(number).alias("round"), F.concat_ws(":", "ord", F.lit(number), "no").alias("query_id"), "ord", F.col("name").alias("tool_name"), F.lit(None).cast("string").alias("query"),
+            F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("verifier_choice"), F.lit("model_failed").alias("rejection_reason"), "error",
+        )
+        rows.unionByName(failed).write.mode("append").parquet(path)
+    kept = accepted_manual(read_log(spark, path), target, ("round", "query_id"))
+    return kept.select("ord", "tool_name", "query", "query_id")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,17 +45,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix=f"intentlake-{os.getpid()}-")
+        path = _temporary(f"intentlake-{os.getpid()}-")
     sc.setCheckpointDir(path)
     return path
 
 
+def _temporary(prefix: str) -> str:
+    """A folder on this machine that goes when the process ends."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there afterwards."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder beside the checkpoints, which all executors share. Spark deletes checkpoint folders no more than this one: whoever runs the cluster does."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 #: Rows of narrow tables (ids, keys, short lists) that are sent to every executor at most.
 BROADCAST_ROWS = 1 << 19
 
@@ -74,7 +89,7 @@ def ensure_importable(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if _SHIPPED.get("context") == sc.applicationId:
         return
-    packed = Path(tempfile.mkdtemp(prefix="intentlake-package-")) / "intentlake.zip"
+    packed = Path(_temporary("intentlake-package-")) / "intentlake.zip"
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted((root / "intentlake").rglob("*.py")):
             z.write(f, f.relative_to(root))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from intentlake.operators.sampling import dense_index
+
 TOOL = "struct<name:string,description:string,parameters:string,category:string>"
 MANUAL = "struct<query:string,tool_name:string,source:string,verification_score:double>"
 CASE = "struct<query:string,ground_truth_tool:string>"
@@ -28,7 +30,10 @@ def _wrapped(spark: SparkSession, path: str, field: str, item: str) -> DataFrame
 
 def read_tools(spark: SparkSession, path: str) -> DataFrame:
     """(``ord``, ``name``, ``description``, ``parameters`` JSON text, ``category``); missing descriptions are empty, missing parameters ``{}``."""
-    x = _wrapped(spark, path, "tools", TOOL)
+    if ".jsonl" in path:
+        x = _in_line_order(read_jsonl(spark, path, "name string, description string, parameters string, category string").select(F.struct("*").alias("x")))
+    else:
+        x = _wrapped(spark, path, "tools", TOOL)
     return x.select(
         "ord", "x.name", F.coalesce("x.description", F.lit("")).alias("description"), F.coalesce("x.parameters", F.lit("{}")).alias("parameters"), "x.category"
     )
@@ -52,6 +57,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return reader.option("pathGlobFilter", "*.jsonl*").json(path) if Path(path).is_dir() else reader.json(path)
 
 
+def _in_line_order(rows: DataFrame) -> DataFrame:
+    """``rows`` of files with ``ord`` from 1: by file, then by place in the file, however the files were split."""
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    return dense_index(placed, ["_f", "_b", "_m"], "ord").withColumn("ord", F.col("ord") + 1).drop("_f", "_b", "_m")
+
+
 @F.arrow_udf(StringType())
 def _contents(questions: pa.Array) -> pa.Array:
     def walk(x) -> Iterator[str]:
@@ -65,13 +76,18 @@ def _contents(questions: pa.Array) -> pa.Array:
     return pa.array([None if q is None else "\n".join(walk(json.loads(q))) for q in questions.to_pylist()], pa.string())
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
+def read_samples(spark: SparkSession, path: str, verified_only: bool = False, limit: int | None = None) -> DataFrame:
     """(``sample_id``, ``candidate_size``, ``query``, ``tools``, ``correct_tools``) of benchmark or scaled-benchmark lines.
 
     ``question`` may nest lists to any depth; its contents are joined by line ends. The id is
-    ``original_id`` if present.
+    ``original_id`` if present. ``verified_only`` keeps lines whose ``accepted`` is true, ``limit`` the first
+    lines that are left.
     """
     rows = read_jsonl(spark, path, SAMPLE)
+    if verified_only:
+        rows = rows.where("accepted = true")
+    if limit is not None:
+        rows = _in_line_order(rows).where(F.col("ord") <= limit)
     query = F.coalesce(F.col("query"), _contents("question"))
     return rows.select(F.coalesce("original_id", "id").alias("sample_id"), "candidate_size", query.alias("query"), F.col("function").alias("tools"), "correct_tools")
 
@@ -94,7 +110,7 @@ def read_generated_queries(spark: SparkSession, path: str) -> DataFrame:
     item = "struct<tool_name:string,skill_id:string,name:string,query:string>"
     if ".jsonl" in path or Path(path).is_dir():
         rows = read_jsonl(spark, path, "tool_name string, skill_id string, name string, query string")
-        rows = rows.select(F.struct("tool_name", "skill_id", "name", "query").alias("x"), F.monotonically_increasing_id().alias("ord"))
+        rows = _in_line_order(rows.select(F.struct("tool_name", "skill_id", "name", "query").alias("x")))
     else:
         head = spark.read.text(path, wholetext=True)
         by_name = F.from_json("value", "map<string,array<string>>")
@@ -141,13 +157,15 @@ def first_paragraph(text: Column) -> Column:
     return F.coalesce(F.substring(F.get(F.filter(blocks, lambda b: b != ""), F.lit(0)), 1, 400), F.lit(""))
 
 
-def read_skill_folders(spark: SparkSession, root: str) -> DataFrame:
-    """(``dir``, ``name``, ``description``) of every ``*/SKILL.md``, in order of folders; a name that came before becomes ``name__dir``."""
+def read_skill_folders(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """(``dir``, ``name``, ``description``) of every ``*/SKILL.md``, in order of folders, the first ``limit`` if given; a name that came before becomes ``name__dir``."""
     from pyspark.sql import Window
 
     files = spark.read.text(f"{root.rstrip('/')}/*/SKILL.md", wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     fields = front_matter(F.col("value"))
     folder = F.element_at(F.split("file", "/"), -2)
+    if limit is not None:
+        files = files.orderBy(folder).limit(limit)
     body = F.regexp_replace("value", r"^---\n(?s).*?\n---\n", "")
     rows = files.select(
         folder.alias("dir"), F.coalesce(F.nullif(F.try_element_at(fields, F.lit("name")), F.lit("")), folder).alias("name"),

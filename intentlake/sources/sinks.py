@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a single JSON file may hold; larger results are written as folders.
-MAX_FILE_ROWS = 100_000
 RESERVED: tuple[str, ...] = ("/etc", "/usr", "/bin", "/boot", "/proc", "/sys", "/dev")
 
 
@@ -24,13 +22,22 @@ def checked_path(path: str, reserved: tuple[str, ...] = RESERVED) -> str:
 
 
 def write_json_object(df: DataFrame, path: str, field: str, order: str) -> None:
-    """One pretty JSON file ``{field: [...]}`` in the order of ``order``; refused beyond ``MAX_FILE_ROWS`` rows."""
-    rows = df.orderBy(order).drop(order).limit(MAX_FILE_ROWS + 1).toJSON().collect()
-    if len(rows) > MAX_FILE_ROWS:
-        raise ValueError(f"more than {MAX_FILE_ROWS} rows: write them with write_lines")
-    target = Path(checked_path(path))
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps({field: [json.loads(r) for r in rows]}, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    """One JSON file ``{field: [...]}``, a row a line, in the order of ``order``; rows pass the driver one by one, whatever their number."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(checked_path(path))
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        held = ["{" + json.dumps(field, ensure_ascii=False) + ": ["]
+        first = True
+        for row in df.orderBy(order).drop(order).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+            held.append(("\n  " if first else ",\n  ") + row.j)
+            first = False
+            if len(held) > 4096:
+                out.write(bytearray("".join(held).encode()))
+                held = []
+        out.write(bytearray("".join([*held, "\n]}\n"]).encode()))
+    finally:
+        out.close()
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
