@@ -113,7 +113,12 @@ class _Pooled(Bm25Index):
 
 def smooth_idf(docs: DataFrame, keys: Sequence[str], text: Column, pool: Sequence[str] = ()) -> DataFrame:
     """(pool, ``term``, ``df``, ``idf``) with idf = ln((N + 1) / (df + 1)) + 1 over all documents of the pool."""
-    frequency = document_frequency(term_counts(docs, [*pool, *keys], text), pool)
+    return idf_of_counts(term_counts(docs, [*pool, *keys], text), docs, pool)
+
+
+def idf_of_counts(counts: DataFrame, docs: DataFrame, pool: Sequence[str] = ()) -> DataFrame:
+    """``smooth_idf`` from the term counts of ``docs``."""
+    frequency = document_frequency(counts, pool)
     n = docs.groupBy(*pool).agg(F.count("*").alias("n_docs"))
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     rows = frequency.join(n, list(pool)) if pool else frequency.join(F.broadcast(n))
@@ -126,12 +131,21 @@ def hashed_vectors(
     """(pool, keys, ``idx``, ``w``): sparse unit vectors of hashed TF-IDF weights.
 
     A term adds sign * (1 + ln tf) * idf at its bucket; the sign comes from a second hash, unknown terms
-    have idf 1. ``bucket`` is the hash, ``hash_bucket`` or ``published_bucket``. Documents whose weights are all 0 or that have no tokens have no rows.
+    have idf 1. ``bucket`` is the hash, ``hash_bucket`` or ``published_bucket``. Documents whose weights are
+    all 0 or that have no tokens have no rows.
     """
+    return vectors_of_counts(term_counts(docs, [*pool, *keys], text), keys, idf, dims, pool, bucket)
+
+
+def vectors_of_counts(
+    counts: DataFrame, keys: Sequence[str], idf: DataFrame, dims: int = DIMENSIONS, pool: Sequence[str] = (), bucket: Callable[..., Column] = hash_bucket
+) -> DataFrame:
+    """``hashed_vectors`` from term counts."""
     keys = [*pool, *keys]
-    terms = term_counts(docs, keys, text).join(idf.select(*pool, "term", "idf"), [*pool, "term"], "left")
-    sign = F.when(bucket(F.concat(F.lit("sign:"), "term"), 2) == 0, 1.0).otherwise(-1.0)
-    weight = sign * (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(1.0))
+    sign = lambda term: F.when(bucket(F.concat(F.lit("sign:"), term), 2) == 0, 1.0).otherwise(-1.0)
+    known = idf.select(*pool, "term", "idf")
+    terms = counts.join(known, [*pool, "term"], "left")
+    weight = sign(F.col("term")) * (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(1.0))
     cells = terms.select(*keys, bucket("term", dims).alias("idx"), weight.alias("w")).groupBy(*keys, "idx").agg(F.sum("w").alias("w"))
     norms = cells.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return cells.join(norms, list(keys)).where("norm > 0").select(*keys, "idx", (F.col("w") / F.col("norm")).alias("w"))

@@ -15,6 +15,7 @@ from intentlake.functions.jsonx import sorted_json
 from intentlake.functions.text import decompose_query, term_overlap
 from intentlake.operators import index, ranking
 from intentlake.operators import manual as select
+from intentlake.session import cut_lineage
 
 DIGITS = 9
 
@@ -72,8 +73,10 @@ def manual_hits(cases: DataFrame, manual: DataFrame, k: int | None, pool: Sequen
 
 def tfidf_hits(cases: DataFrame, manual: DataFrame, k: int) -> DataFrame:
     """The k nearest manual entries of each request by hashed TF-IDF cosine; only positive scores stay, after the cut."""
-    idf = index.smooth_idf(manual, ["entry_ord"], F.col("query"))
-    entries = index.hashed_vectors(manual, ["entry_ord"], F.col("query"), idf)
+    # Tokens are counted once, for the statistics and for the vectors.
+    counts = cut_lineage(index.term_counts(manual, ["entry_ord"], F.col("query")).drop("first_pos", "dl"))
+    idf = index.idf_of_counts(counts, manual)
+    entries = index.vectors_of_counts(counts, ["entry_ord"], idf)
     asked = index.hashed_vectors(cases, ["ord"], F.col("query"), idf)
     scores = _rounded(index.sparse_cosine(asked, ["ord"], entries, ["entry_ord"]))
     best = ranking.top_k(scores, ["ord"], ranking.by_score("entry_ord"), k).where("score > 0")
@@ -87,9 +90,12 @@ def pool_tfidf_ranking(cases: DataFrame, drawn: DataFrame, docs: DataFrame, k: i
     in pool order. ``docs`` has ``name`` and ``document``.
     """
     pool = ["ord", "pool_size"]
-    placed = drawn.withColumnRenamed("pos", "place").join(docs, "name")
-    idf = index.smooth_idf(placed, ["place"], F.col("document"), pool)
-    vectors = index.hashed_vectors(placed, ["place"], F.col("document"), idf, pool=pool)
+    placed = drawn.withColumnRenamed("pos", "place")
+    # A document's tokens are counted once, however many pools hold it.
+    once = cut_lineage(index.term_counts(docs, ["name"], F.col("document")).drop("first_pos", "dl"))
+    counts = placed.join(once, "name").select(*pool, "place", "term", "tf")
+    idf = index.idf_of_counts(counts, placed, pool)
+    vectors = index.vectors_of_counts(counts, ["place"], idf, pool=pool)
     requests = drawn.select(*pool).distinct().join(cases.select("ord", "query"), "ord")
     asked = index.hashed_vectors(requests, [], F.col("query"), idf, pool=pool)
     scores = _rounded(index.sparse_cosine(asked, [], vectors, ["place"], pool)).withColumnRenamed("place", "pos")
