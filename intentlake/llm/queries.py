@@ -76,7 +76,7 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that were cut: those with a second piece."""
-    pieces = split.split_oversized(_read(spark, sf_dir, "documents"), contents=False)
+    pieces = split.split_oversized(_read(spark, sf_dir, "documents"))
     return pieces.where("piece_no = 1").select("doc_id")
 
 
