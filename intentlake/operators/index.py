@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intentlake.functions.text import count_tokens, hash_bucket
+from intentlake.session import cut_lineage
 
 K1, B = 1.5, 0.75
 DIMENSIONS = 2048
@@ -111,6 +112,42 @@ class _Pooled(Bm25Index):
         return Bm25Index(inside, self.stats, self.keys, self.pool).postings(only)
 
 
+@dataclass
+class _Units(Bm25Index):
+    """The index of units that are a shared document and a text of their own; ``units``: (shared key, unit key, ``dl``), ``own``: counts by unit key."""
+
+    units: DataFrame
+    shared: DataFrame
+    own: DataFrame
+
+    def postings(self, only: DataFrame | None = None) -> DataFrame:
+        shared_key, unit_key = self.keys
+        wanted = None if only is None else only.select("term").distinct()
+        keep = lambda c: c if wanted is None else c.join(wanted, "term", "left_semi")
+        both = self.units.join(keep(self.shared), shared_key).select(*self.keys, "term", "tf", "dl")
+        both = both.unionByName(self.units.join(keep(self.own), unit_key).select(*self.keys, "term", "tf", "dl"))
+        counts = both.groupBy(*self.keys, "term").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+        return Bm25Index(counts, self.stats, self.keys, ()).postings()
+
+
+def unit_bm25_index(docs: DataFrame, shared_key: str, document: Column, texts: DataFrame, unit_key: str, text: Column) -> Bm25Index:
+    """The index of units that each consist of a shared document and a text of their own, or of the document alone.
+
+    ``docs`` has the shared key (unique), ``texts`` both keys, one row a unit; documents without texts are a
+    unit with a null unit key. Documents and texts are counted once each, not once a unit, and placed in
+    their units when a search asks for their terms. The two must not run into one another: a token
+    ends where the document ends.
+    """
+    shared = cut_lineage(term_counts(docs, [shared_key], document).drop("first_pos"))
+    own = cut_lineage(term_counts(texts, [unit_key], text).drop("first_pos"))
+    length = lambda counts, key, name: counts.groupBy(key).agg(F.max("dl").alias(name))
+    units = docs.select(shared_key).join(texts.select(shared_key, unit_key), shared_key, "left")
+    units = units.join(length(shared, shared_key, "_s"), shared_key, "left").join(length(own, unit_key, "_o"), unit_key, "left")
+    units = cut_lineage(units.select(shared_key, unit_key, (F.coalesce("_s", F.lit(0)) + F.coalesce("_o", F.lit(0))).alias("dl")))
+    stats = units.agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+    return _Units(own, stats, (shared_key, unit_key), (), units, shared.drop("dl"), own.drop("dl"))
+
+
 def smooth_idf(docs: DataFrame, keys: Sequence[str], text: Column, pool: Sequence[str] = ()) -> DataFrame:
     """(pool, ``term``, ``df``, ``idf``) with idf = ln((N + 1) / (df + 1)) + 1 over all documents of the pool."""
     return idf_of_counts(term_counts(docs, [*pool, *keys], text), docs, pool)

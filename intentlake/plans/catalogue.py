@@ -365,14 +365,16 @@ def units_augmented(spark, sf_dir):
 )
 def retrieve_units(spark, sf_dir):
     """Tools by their units' BM25 scores; a tool's units without a match count with 0."""
-    units = units_of(spark, sf_dir).select("name", "document", F.struct("ord", "unit_ord").alias("unit"))
-    built = index.bm25_index(units, ["unit"], F.col("document"))
-    hits = built.score(read(spark, sf_dir, "cases"), ["ord"], F.col("query")).withColumn("score", F.round("score", 9))
-    named = hits.join(units.select("unit", "name"), "unit")
-    place = Window.partitionBy("ord", "name").orderBy(F.desc("score"), "unit")
-    best = named.withColumn("r", F.row_number().over(place)).where("r <= 3").groupBy("ord", "name").agg(F.sum("score").alias("s"))
-    sizes = units.groupBy("name").agg(F.count("*").alias("n"))
-    scored = best.join(sizes, "name")
+    tools = keyed_tools(spark, sf_dir)
+    asked = keyed_manual(spark, sf_dir).where("query is not null and query <> ''").join(tools.select("ord", F.col("name").alias("tool_name")), "tool_name")
+    texts = asked.select("ord", F.col("entry_ord").alias("unit_ord"), F.concat(F.lit("GENERATED_QUERY: "), "query").alias("said"))
+    built = index.unit_bm25_index(tools, "ord", pipelines.tool_document(False), texts, "unit_ord", F.col("said"))
+    requests = read(spark, sf_dir, "cases").select(F.col("ord").alias("request"), "query")
+    hits = built.score(requests, ["request"], F.col("query")).withColumn("score", F.round("score", 9))
+    place = Window.partitionBy("request", "ord").orderBy(F.desc("score"), "unit_ord")
+    best = hits.withColumn("r", F.row_number().over(place)).where("r <= 3").groupBy("request", "ord").agg(F.sum("score").alias("s"))
+    sizes = built.units.groupBy("ord").agg(F.count("*").alias("n"))
+    scored = best.join(sizes, "ord").join(tools.select("ord", "name"), "ord").withColumnRenamed("ord", "tool_ord").withColumnRenamed("request", "ord")
     score = F.round(F.col("s") / F.least("n", F.lit(3)) + 0.05 * F.least("n", F.lit(5)), 9)
     rows = ranking.top_k(scored.withColumn("score", score), ["ord"], ranking.by_score("name"), 10)
     return rows.select("ord", "name", F.col("rank").cast("bigint").alias("rank"), "score")

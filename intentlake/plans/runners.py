@@ -115,9 +115,10 @@ def run(samples: DataFrame, entries: DataFrame, method: str = "proxy", k: int =
     tools are known. A sample without candidates predicts nothing.
     """
     samples = samples.withColumn("candidate_size", F.coalesce("candidate_size", F.lit(0)))
-    pools = sample_pools(samples)
+    # Both are used several times by what follows.
+    pools = cut_lineage(sample_pools(samples))
     every = (2**31 - 1) if method == "full_context" else k
-    ranked = retriever(method)(samples, pools, entries, every)
+    ranked = cut_lineage(retriever(method)(samples, pools, entries, every))
     first = pools.groupBy(*KEY).agg(F.min_by("name", "pos").alias("_pool_first"))
     lists = ranking.ranked_lists(ranked, KEY, "name").withColumnRenamed("ranked", "retrieved")
     best = ranked.where("rank = 1").select(*KEY, F.col("name").alias("_first"))
