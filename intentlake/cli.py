@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from intentlake.functions.metrics import is_correct
 from intentlake.operators import evaluate, manual, sampling, tasks
-from intentlake.plans import pipelines
-from intentlake.session import local_session
+from intentlake.plans import pipelines, runners
+from intentlake.session import local_session, shared_folder
 from intentlake.sources import readers, sinks
 
-DEFAULTS = {"queries_per_tool": 8, "distractors": 8, "seed": 7, "tool_top_k": 5, "proxy_top_k": 20, "sizes": "10,50,100", "mode": "core", "accepted_only": False}
+DEFAULTS = {"queries_per_tool": 8, "distractors": 8, "seed": 7, "tool_top_k": 5, "proxy_top_k": 20, "sizes": "10,50,100", "mode": "core", "accepted_only": False, "method": "tfidf"}
 
 
 def _catalogue(tools: DataFrame) -> DataFrame:
@@ -92,15 +92,90 @@ def evaluate_ranked(spark: SparkSession, a: dict) -> DataFrame:
     return evaluate.ranking_report(rows, "ranked", "gold", "gold_all", "grades")
 
 
+def _samples(spark: SparkSession, a: dict) -> DataFrame:
+    """The samples of a benchmark file, with the answers' gold where a file of answers is given."""
+    limit = int(a["limit"]) if a.get("limit") else None
+    rows = readers.read_samples(spark, a["data"], bool(a.get("accepted_only")), limit)
+    if a.get("answers"):
+        gold = readers.read_answers(spark, a["answers"])
+        rows = rows.drop("correct_tools").join(gold, "sample_id", "left").withColumnRenamed("gold", "correct_tools")
+    return rows
+
+
+def _entries(spark: SparkSession, a: dict, tools: DataFrame) -> DataFrame:
+    """The given manual, or one that is built of templates for the samples' tools, kept under ``manual_out`` if that is given."""
+    if a.get("manual"):
+        return readers.read_manual(spark, a["manual"])
+    proposed = manual.template_queries(tools, int(a["queries_per_tool"])).withColumn("query_id", F.concat_ws(":", "ord", "query_no"))
+    rows = manual.verify_queries(proposed, tools, _catalogue(tools), int(a["distractors"]), int(a["seed"])).where("accepted")
+    kept = rows.select((F.col("ord") * 1000 + F.col("query_no")).alias("ord"), "query", F.col("name").alias("tool_name"), F.lit("templates").alias("source"), F.lit(1.0).alias("verification_score"))
+    if a.get("manual_out"):
+        sinks.write_json_object(kept, a["manual_out"], "manual", "ord")
+        return readers.read_manual(spark, a["manual_out"])
+    return kept.withColumnRenamed("ord", "entry_ord")
+
+
+def _tools_of(samples: DataFrame) -> DataFrame:
+    """(``ord``, ``name``, ``description``, ``parameters``): every tool of the samples, the first definition by name."""
+    each = samples.select("sample_id", F.posexplode("tools").alias("pos", "t")).select("sample_id", "pos", "t.*")
+    once = sampling.unique_by(each, "name", ["sample_id", "pos"])
+    return sampling.dense_index(once.select("name", "description", "parameters"), ["name"], "ord")
+
+
+def _predicted(rows: DataFrame, a: dict) -> DataFrame:
+    """Predictions written as lines, and their accuracy by pool size."""
+    lines = rows.select(
+        "sample_id", "candidate_size", "query", F.col("predicted").alias("predicted_tool"), F.col("retrieved").alias("retrieved_tools"), "correct_tools", "is_correct", "method", "setting"
+    )
+    sinks.write_lines(lines, a["out"])
+    out = readers.read_predictions(spark := rows.sparkSession, a["out"])
+    if a.get("compare_to"):
+        before = readers.read_predictions(spark, a["compare_to"]).select("sample_id", "candidate_size", F.monotonically_increasing_id().alias("o"), "is_correct")
+        both = evaluate.compare_runs(before, out, ["sample_id", "candidate_size"], "o", "is_correct")
+        return both.groupBy("candidate_size").agg(evaluate.rate("a_is_correct").alias("before"), evaluate.rate("b_is_correct").alias("accuracy"), F.count("*").alias("total")).orderBy("candidate_size")
+    return evaluate.summarize(out, ["candidate_size"]).orderBy("candidate_size")
+
+
+def batch(spark: SparkSession, a: dict) -> DataFrame:
+    """A benchmark file (or a scaled one, or one of skills) run by the manual's queries, the tool chosen among the best."""
+    samples = _samples(spark, a)
+    return _predicted(runners.run(samples, _entries(spark, a, _tools_of(samples)), "proxy", int(a["tool_top_k"])), a)
+
+
+def scaled(spark: SparkSession, a: dict) -> DataFrame:
+    """A benchmark file whose pools are grown to each size with tools of the other samples, then run as ``batch``."""
+    samples = _samples(spark, a)
+    tools = _tools_of(samples)
+    asked = samples.select("sample_id", "query", "correct_tools")
+    keyed = sampling.dense_index(asked.select("sample_id").distinct(), ["sample_id"], "ord").join(asked.dropDuplicates(["sample_id"]), "sample_id")
+    drawn = sampling.pools(keyed.withColumnRenamed("correct_tools", "gold"), ["ord"], "gold", _catalogue(tools), [int(s) for s in str(a["sizes"]).split(",")], int(a["seed"]))
+    rows = sinks.scaled_rows(drawn, keyed, tools).drop("original_id").join(keyed.select(F.col("ord").cast("string").alias("_o"), F.col("sample_id").alias("original_id")), F.substring_index("id", "_n", 1) == F.col("_o")).drop("_o")
+    grown = a.get("data_out") or shared_folder(spark, "scaled")
+    sinks.write_lines(rows, grown)
+    return _predicted(runners.run(readers.read_samples(spark, grown), _entries(spark, a, tools), "proxy", int(a["tool_top_k"])), a)
+
+
+def baseline(spark: SparkSession, a: dict) -> DataFrame:
+    """A scaled benchmark file run by a method over the candidates' documents; the first is predicted."""
+    samples = _samples(spark, a)
+    entries = readers.read_manual(spark, a["manual"]) if a.get("manual") else spark.createDataFrame([], "entry_ord bigint, query string, tool_name string")
+    return _predicted(runners.run(samples, entries, a["method"], int(a["tool_top_k"]), choose=a["method"] == "full_context"), a)
+
+
 COMMANDS = {
     "build-manual": (build_manual, ("tools", "out")),
     "query": (query, ("tools", "manual", "query")),
     "benchmark": (benchmark, ("tools", "manual", "cases")),
     "scale": (scale, ("tools", "cases", "out")),
     "normalize-queries": (normalize_queries, ("input", "out")),
+    "batch": (batch, ("data", "out")),
+    "scaled": (scaled, ("data", "out")),
+    "baseline": (baseline, ("data", "out")),
+    "skill-scaled": (scaled, ("data", "out")),
+    "skill-baseline": (baseline, ("data", "out")),
     "evaluate": (evaluate_ranked, ("tasks", "relevance", "pool", "predictions")),
 }
-OPTIONS = ("tools", "manual", "cases", "query", "out", "input", "tasks", "relevance", "pool", "predictions", *DEFAULTS)
+OPTIONS = ("tools", "manual", "cases", "query", "out", "input", "tasks", "relevance", "pool", "predictions", "data", "answers", "limit", "manual_out", "data_out", "compare_to", *DEFAULTS)
 
 
 def settings(argv: list[str]) -> tuple[str, dict]:

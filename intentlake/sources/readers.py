@@ -52,9 +52,9 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of a file, or of the ``.jsonl`` and ``.jsonl.gz`` files of a folder; blank lines are ignored, malformed ones fail."""
+    """JSON lines of a file, or of the ``.jsonl`` and ``.jsonl.gz`` files of a folder, or of a folder that Spark wrote; blank lines are ignored, malformed ones fail."""
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
-    return reader.option("pathGlobFilter", "*.jsonl*").json(path) if Path(path).is_dir() else reader.json(path)
+    return reader.option("pathGlobFilter", "{*.jsonl,*.jsonl.gz,part-*.json,part-*.json.gz}").json(path) if Path(path).is_dir() else reader.json(path)
 
 
 def _in_line_order(rows: DataFrame) -> DataFrame:

@@ -53,3 +53,21 @@ def test_task_gold(spark):
     assert [r.name for r in tasks.manual_scope(pool, relevance.limit(0), 2).collect()] == ["a", "b"]
     with pytest.raises(ValueError):
         tasks.task_gold(asked, relevance, pool, "other")
+
+
+def test_runs_of_benchmark_files(spark, tmp_path, capsys):
+    def sample(i, query, tools, gold):
+        return {"id": f"s{i}", "question": [[{"role": "user", "content": query}]], "function": [{**TOOLS[t], "parameters": json.dumps(TOOLS[t]["parameters"])} for t in tools], "correct_tools": gold, "accepted": True}
+
+    data = tmp_path / "data.jsonl"
+    data.write_text("\n".join(map(json.dumps, [sample(0, "the weather of a place", [1, 0, 2], ["read_weather"]), sample(1, "write an email", [3, 4], ["write_email"]), sample(2, "trade currency", [5], ["trade_currency"])])))
+    answers = tmp_path / "answers.jsonl"
+    answers.write_text("\n".join(json.dumps({"id": f"s{i}", "ground_truth": [{n: {}}]}) for i, n in enumerate(("read_weather", "write_email"))))
+    out = run(capsys, "batch", "--data", str(data), "--out", str(tmp_path / "p"), "--answers", str(answers), "--manual-out", str(tmp_path / "manual.json"), "--distractors", "3")
+    assert out == [{"candidate_size": 0, "total": 3, "evaluated": 2, "correct": 2, "accuracy": 1.0}]
+    out = run(capsys, "scaled", "--data", str(data), "--out", str(tmp_path / "q"), "--manual", str(tmp_path / "manual.json"), "--sizes", "2,5", "--data-out", str(tmp_path / "grown"))
+    assert [(r["candidate_size"], r["total"], r["accuracy"]) for r in out] == [(2, 3, 1.0), (5, 3, 1.0)]
+    out = run(capsys, "baseline", "--data", str(tmp_path / "grown"), "--out", str(tmp_path / "r"), "--compare-to", str(tmp_path / "q"), "--method", "bm25")
+    assert [(r["candidate_size"], r["before"], r["total"]) for r in out] == [(2, 1.0, 3), (5, 1.0, 3)] and all(r["accuracy"] > 0.5 for r in out)
+    out = run(capsys, "skill-baseline", "--data", str(tmp_path / "grown"), "--out", str(tmp_path / "u"), "--method", "full_context", "--limit", "4")
+    assert sum(r["total"] for r in out) == 4
