@@ -48,6 +48,23 @@ def test_round_trip(encoder):
         assert encoder.decode(encoder.encode(text)) == text
 
 
+def test_every_text_of_the_tables(encoder, public):
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    texts = [t for t in pq.read_table(path, columns=["text"])["text"].to_pylist() if t]
+    for a in range(0, len(texts), 500):
+        part = texts[a : a + 500]
+        ids, count = encoder.encode_texts(part)
+        at = np.concatenate(([0], np.cumsum(count)))
+        for k, t in enumerate(part):
+            assert ids[at[k] : at[k + 1]].tolist() == public.encode_ordinary(t)
+
+
 def test_forgetting_changes_nothing(encoder, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_KEPT_PIECES", 1)
     small = bpe.Encoder(bpe.read_rank_file())
