@@ -35,11 +35,11 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "idx") -> DataFr
     for p in sorted(sizes):
         base[p] = total
         total += sizes[p]
-    offset = F.lit(0).cast("bigint")
-    if base:
-        offset = F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") for p in base for x in (p, base[p])]), F.col("_p").cast("bigint"))
+    # One row for each partition; the rows of a partition are numbered from its offset.
+    offsets = df.sparkSession.createDataFrame(sorted(base.items()), "_p int, _offset bigint")
     place = Window.partitionBy("_p").orderBy(*order)
-    return parted.withColumn(out, (offset + F.row_number().over(place) - 1).cast("bigint")).drop("_p")
+    numbered = parted.withColumn(out, F.row_number().over(place).cast("bigint") - 1)
+    return numbered.join(F.broadcast(offsets), "_p").withColumn(out, F.col(out) + F.col("_offset")).drop("_p", "_offset")
 
 
 def next_prime(n: int) -> int:

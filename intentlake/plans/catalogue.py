@@ -319,8 +319,11 @@ def retrieve_bm25(spark, sf_dir):
 _BM_TOOLS = f"{O.M}, {_BM}, h as (select b.ord, m.tool_name, b.score, b.entry_ord from b join manual_n m using (entry_ord) where m.tool_name is not null), {O.tool_rank('tr', 'h', 'ord', 'tool_name', 'entry_ord')}"
 
 
-def bm25_tools(spark, sf_dir, k):
+def bm25_tools(spark, sf_dir, k, among=None):
+    """Tools by BM25; with ``among`` (``ord``, ``name``) only those of each request's pools are ranked, whose order stays the same."""
     hits = pipelines.manual_hits(read(spark, sf_dir, "cases"), keyed_manual(spark, sf_dir), None).where("tool_name is not null")
+    if among is not None:
+        hits = hits.join(among.select("ord", F.col("name").alias("tool_name")).distinct(), ["ord", "tool_name"], "left_semi")
     return pipelines.rank_tools(hits, ["ord"], "tool_name", k, "entry_ord")
 
 
@@ -496,8 +499,9 @@ def sample_pools(spark, sf_dir, sizes=_SIZES):
 )
 def filter_after_ranking(spark, sf_dir, sizes=_SIZES):
     """A global ranking cut down to each pool and topped up in pool order."""
-    ranked = bm25_tools(spark, sf_dir, 2**31 - 1).withColumnRenamed("tool_name", "name")
-    rows = pipelines.within_pool(ranked, case_pools(spark, sf_dir, sizes), ["ord"], "name", 10, fill=True)
+    drawn = case_pools(spark, sf_dir, sizes)
+    ranked = bm25_tools(spark, sf_dir, 2**31 - 1, drawn).withColumnRenamed("tool_name", "name")
+    rows = pipelines.within_pool(ranked, drawn, ["ord"], "name", 10, fill=True)
     return rows.select("ord", "pool_size", F.array_join("ranked", "|").alias("ranked"))
 
 

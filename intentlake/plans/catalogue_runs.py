@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from intentlake.functions import metrics
 from intentlake.functions import text as T
-from intentlake.operators import manual, ranking
+from intentlake.operators import evaluate, manual, ranking, tasks
 from intentlake.plans import catalogue as C
 from intentlake.plans import oracle as O
 from intentlake.plans import pipelines, runners
@@ -115,8 +115,9 @@ def run_bm25_query_augmented(spark, sf_dir):
 )
 def filter_after_ranking_bare(spark, sf_dir):
     """A global ranking cut down to each pool and not topped up."""
-    ranked = C.bm25_tools(spark, sf_dir, 2**31 - 1).withColumnRenamed("tool_name", "name")
-    rows = pipelines.within_pool(ranked, C.case_pools(spark, sf_dir), ["ord"], "name", 10, fill=False)
+    drawn = C.case_pools(spark, sf_dir)
+    ranked = C.bm25_tools(spark, sf_dir, 2**31 - 1, drawn).withColumnRenamed("tool_name", "name")
+    rows = pipelines.within_pool(ranked, drawn, ["ord"], "name", 10, fill=False)
     return rows.select("ord", "pool_size", F.array_join("ranked", "|").alias("ranked"))
 
 
@@ -250,3 +251,63 @@ def evaluate_graded(spark, sf_dir):
     rows = ranked.join(grades, "qid")
     found = metrics.all_metrics(F.col("ranked"), F.map_keys("grades"), F.col("grades"))
     return rows.select("qid", *[F.round(found[n], 9).alias(n) for n in ("ndcg_1", "ndcg_3", "ndcg_10")])
+
+
+@query(
+    "with h as (select qid, tool_name, case when score is null or isnan(score) then null else score >= 0.5 end as good, case when isfinite(score) then score end as s from hits) "
+    "select tool_name, count(*) as count, round(avg(good::int), 9) as good, round(avg(s), 6) as s from h group by 1"
+)
+def evaluate_runs(spark, sf_dir):
+    """Rates and means by tool name over the logged hits, values that are missing left out of each."""
+    finite = F.when(~F.isnan("score") & (F.abs("score") < float("inf")), F.col("score"))
+    rows = read(spark, sf_dir, "hits").select("tool_name", F.when(~F.isnan("score"), F.col("score") >= 0.5).alias("good"), finite.alias("s"))
+    return evaluate.summarize_runs(rows, ["tool_name"], ["good"], ["s"]).select("tool_name", "count", F.round("good", 9).alias("good"), F.round("s", 6).alias("s"))
+
+
+# ---- routing tasks, bodies and digests
+
+
+def _relevance(spark, sf_dir) -> DataFrame:
+    """Relevance entries of the cases that have a tool: the tool is gold, and core gold for even ordinals."""
+    cases = C.keyed_cases(spark, sf_dir).where("ground_truth_tool is not null")
+    gold = F.array("ground_truth_tool")
+    return cases.select(
+        F.col("ord").cast("string").alias("task_id"), gold.alias("gt_skill_ids"), F.when(F.col("ord") % 2 == 0, gold).alias("core_gt_ids"),
+        F.create_map("ground_truth_tool", F.lit(2.0)).alias("relevance"), F.when(F.col("ord") % 5 == 0, "generic_only").alias("task_type"),
+    )
+
+
+@query(
+    f"with {C.TOOLS_N}, {C.CASES_N} select c.ord::varchar as task_id, coalesce(c.ground_truth_tool, '') as gold_all, coalesce(t.name, '') as gold, case when t.name is not null then 2.0::double end as grade "
+    "from cases_n c left join tools_n t on t.name = c.ground_truth_tool where c.ord % 5 <> 0 or c.ground_truth_tool is null"
+)
+def task_gold(spark, sf_dir):
+    """The core tasks with their gold, whole and inside the pool, and its grade."""
+    asked = read(spark, sf_dir, "cases").select(F.col("ord").cast("string").alias("task_id"))
+    rows = tasks.task_gold(asked, _relevance(spark, sf_dir), C.keyed_tools(spark, sf_dir))
+    grade = F.try_element_at(F.map_values("grades"), F.lit(1))
+    return rows.select("task_id", F.array_join("gold_all", "|").alias("gold_all"), F.array_join("gold", "|").alias("gold"), grade.alias("grade"))
+
+
+@query(f"with {C.TOOLS_N}, {C.CASES_N} select distinct t.name from tools_n t join cases_n c on c.ground_truth_tool = t.name")
+def task_scope(spark, sf_dir):
+    """The tools that a manual is built for: those that a relevance entry mentions."""
+    return tasks.manual_scope(C.keyed_tools(spark, sf_dir), _relevance(spark, sf_dir))
+
+
+@query(
+    f"with {O.M}, {C.TOOLS_N}, g as (select tool_name, string_agg('- ' || query, chr(10) order by entry_ord) as q from manual_n where query <> '' group by 1) "
+    "select t.name as skill_id, sha256(coalesce(t.description, '') || coalesce(chr(10) || chr(10) || 'GENERATED_QUERIES:' || chr(10) || q, '')) as body from tools_n t left join g on g.tool_name = t.name"
+)
+def sink_bodies(spark, sf_dir):
+    """Tools as skills whose bodies have the manual's queries appended, as digests."""
+    skills = C.keyed_tools(spark, sf_dir).select(F.col("name").alias("skill_id"), F.col("description").alias("body"))
+    asked = C.keyed_manual(spark, sf_dir).where("query <> '' and tool_name is not null").select(F.col("tool_name").alias("name"), F.col("entry_ord").alias("ord"), "query")
+    return sinks.augmented_bodies(skills, asked).select("skill_id", F.sha2("body", 256).alias("body"))
+
+
+@query("select category, substr(sha1(string_agg(name || repeat(chr(0), 2), '' order by ord)), 1, 16) as digest from tools group by 1")
+def text_pool_digests(spark, sf_dir):
+    """A digest of each category's tool names in order."""
+    rows = read(spark, sf_dir, "tools").groupBy("category").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("x"))
+    return rows.select("category", T.pool_digest(F.transform("x", lambda t: t["name"])).alias("digest"))
