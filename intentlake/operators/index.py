@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intentlake.functions.text import count_tokens, hash_bucket
-from intentlake.session import cut_lineage
+from intentlake.session import cut_lineage, written_table
 
 K1, B = 1.5, 0.75
 DIMENSIONS = 2048
@@ -138,8 +138,8 @@ def unit_bm25_index(docs: DataFrame, shared_key: str, document: Column, texts: D
     their units when a search asks for their terms. The two must not run into one another: a token
     ends where the document ends.
     """
-    shared = cut_lineage(term_counts(docs, [shared_key], document).drop("first_pos"))
-    own = cut_lineage(term_counts(texts, [unit_key], text).drop("first_pos"))
+    shared = written_table(term_counts(docs, [shared_key], document).drop("first_pos"), "counts")
+    own = written_table(term_counts(texts, [unit_key], text).drop("first_pos"), "counts")
     length = lambda counts, key, name: counts.groupBy(key).agg(F.max("dl").alias(name))
     units = docs.select(shared_key).join(texts.select(shared_key, unit_key), shared_key, "left")
     units = units.join(length(shared, shared_key, "_s"), shared_key, "left").join(length(own, unit_key, "_o"), unit_key, "left")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intentlake.session import cut_lineage
+from intentlake.session import cut_lineage, written_table
 
 #: Levels that one plan explodes; deeper records go on from a table in the checkpoint folder.
 LEVELS_PER_PLAN = 6
@@ -343,7 +343,7 @@ def flatten_records(
     Without any records the result is empty. ``attributes`` adds a column ``attributes`` (MAP of names to texts:
     strings as they are, other values as JSON, nulls left out).
     """
-    shapes = cut_lineage(_shapes(df, key_cols, json_col))
+    shapes = written_table(_shapes(df, key_cols, json_col), "shapes")
     return _exploded(shapes, key_cols, shapes.agg(F.max("depth")).first()[0] or 0, levels_per_plan, attributes)
 
 
@@ -396,7 +396,7 @@ def child_tables(df: DataFrame, key_cols: list[str], json_col: str, levels_per_p
     attributes; ``parent_key`` refers to the table of the level above (``0`` in the first). Conditions as
     in ``flatten_records``; without any records there are no tables.
     """
-    shapes = cut_lineage(_shapes(df, key_cols, json_col))
+    shapes = written_table(_shapes(df, key_cols, json_col), "shapes")
     schema = inferred_schema(shapes)
     if not schema.levels:
         return schema, {}

@@ -15,7 +15,7 @@ from intentlake.functions.jsonx import sorted_json
 from intentlake.functions.text import decompose_query, term_overlap
 from intentlake.operators import index, ranking
 from intentlake.operators import manual as select
-from intentlake.session import cut_lineage
+from intentlake.session import written_table
 
 DIGITS = 9
 
@@ -74,7 +74,7 @@ def manual_hits(cases: DataFrame, manual: DataFrame, k: int | None, pool: Sequen
 def tfidf_hits(cases: DataFrame, manual: DataFrame, k: int) -> DataFrame:
     """The k nearest manual entries of each request by hashed TF-IDF cosine; only positive scores stay, after the cut."""
     # Tokens are counted once, for the statistics and for the vectors.
-    counts = cut_lineage(index.term_counts(manual, ["entry_ord"], F.col("query")).drop("first_pos", "dl"))
+    counts = written_table(index.term_counts(manual, ["entry_ord"], F.col("query")).drop("first_pos", "dl"), "counts")
     idf = index.idf_of_counts(counts, manual)
     entries = index.vectors_of_counts(counts, ["entry_ord"], idf)
     asked = index.hashed_vectors(cases, ["ord"], F.col("query"), idf)
@@ -92,7 +92,7 @@ def pool_tfidf_ranking(cases: DataFrame, drawn: DataFrame, docs: DataFrame, k: i
     pool = ["ord", "pool_size"]
     placed = drawn.withColumnRenamed("pos", "place")
     # A document's tokens are counted once, however many pools hold it.
-    once = cut_lineage(index.term_counts(docs, ["name"], F.col("document")).drop("first_pos", "dl"))
+    once = written_table(index.term_counts(docs, ["name"], F.col("document")).drop("first_pos", "dl"), "counts")
     counts = placed.join(once, "name").select(*pool, "place", "term", "tf")
     idf = index.idf_of_counts(counts, placed, pool)
     vectors = index.vectors_of_counts(counts, ["place"], idf, pool=pool)

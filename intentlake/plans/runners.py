@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from intentlake.functions.metrics import is_correct
 from intentlake.operators import index, manual, ranking
 from intentlake.plans import pipelines
-from intentlake.session import cut_lineage
+from intentlake.session import cut_lineage, written_table
 
 KEY = ["sample_id", "candidate_size"]
 NONE = "array<string>"
@@ -30,7 +30,7 @@ def proxy(samples: DataFrame, pools: DataFrame, entries: DataFrame, k: int, prox
     """The tools of each sample's nearest manual queries among those of its pool, by hashed TF-IDF with the statistics of these."""
     inside = pools.select(*KEY, F.col("name").alias("tool_name")).join(entries.select("entry_ord", "tool_name"), "tool_name")
     # An entry's tokens are counted once, however many pools hold it.
-    once = cut_lineage(index.term_counts(entries, ["entry_ord"], F.col("query")).drop("first_pos", "dl"))
+    once = written_table(index.term_counts(entries, ["entry_ord"], F.col("query")).drop("first_pos", "dl"), "counts")
     counts = inside.join(once, "entry_ord").select(*KEY, "entry_ord", "term", "tf")
     idf = index.idf_of_counts(counts, inside, KEY)
     vectors = index.vectors_of_counts(counts, ["entry_ord"], idf, pool=KEY)
@@ -72,7 +72,7 @@ def _pool_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def document_tfidf(samples: DataFrame, pools: DataFrame, entries: DataFrame | None, k: int) -> DataFrame:
     """The candidates of each sample by hashed TF-IDF of their documents inside the pool; those without a match follow in pool order."""
     docs = _documents(pools, entries)
-    counts = cut_lineage(index.term_counts(docs, [*KEY, "name"], F.col("document")).drop("first_pos", "dl"))
+    counts = written_table(index.term_counts(docs, [*KEY, "name"], F.col("document")).drop("first_pos", "dl"), "counts")
     idf = index.idf_of_counts(counts, docs, KEY)
     vectors = index.vectors_of_counts(counts, ["name"], idf, pool=KEY)
     asked = index.hashed_vectors(samples.select(*KEY, "query"), [], F.col("query"), idf, pool=KEY)

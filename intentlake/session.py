@@ -68,6 +68,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a compressed table in the shared folder and read from there. Unlike a checkpoint, later reads take only the columns they need."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows of narrow tables (ids, keys, short lists) that are sent to every executor at most.
 BROADCAST_ROWS = 1 << 19
 
